@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlume.operators.ordered import medians, salted_join
+from graphlume.session import cut
 
 #: Bits to write one sign of an expression, and to tell one letter, digit or other sign of a value.
 SIGN_BITS, LETTER_BITS, DIGIT_BITS, OTHER_BITS, ANY_BITS = 7.0, 4.7, 3.4, 5.0, 8.0
@@ -65,7 +66,9 @@ def induce(values: DataFrame, keys: list[str], reference: DataFrame | None = Non
 
     ``values`` has ``*keys`` (the column's name, say), ``value`` and ``n`` (rows that bear it).
     ``reference`` has ``*keys`` and ``value``; keys without a reference are judged by form alone.
+    Distinct values and their expressions are written once each, as several aggregates read them.
     """
+    values = cut(values)
     sized, loose = levels(F.col("value"))
     leaf = values.withColumn("l2", sized).withColumn("l1", loose).withColumn("listed", F.lit(False))
     has_list = F.lit(False)
@@ -91,7 +94,7 @@ def induce(values: DataFrame, keys: list[str], reference: DataFrame | None = Non
         whole = written + F.col("_own") + F.col("n") * F.log2(F.col("total") / F.col("n"))
         return node.withColumn(out, F.least(whole, F.col("_below"))).withColumn(f"{out}_split", F.col("_below") <= whole).drop("_own", "_below")
 
-    n2 = up(leaf, ["l1", "l2"], "c2", "b3", "b2", ["c1", "c0"])
+    n2 = cut(up(leaf, ["l1", "l2"], "c2", "b3", "b2", ["c1", "c0"]))
     n1 = up(n2, ["l1"], "c1", "b2", "b1", ["c0"])
     n0 = up(n1, [], "c0", "b1", "b0", [])
     kept = salted_join(n2.select(*keys, "l1", "l2", "b2_split"), n1.select(*keys, "l1", "b1_split"), [*keys, "l1"], "l2").join(F.broadcast(n0.select(*keys, "b0_split")), keys)
@@ -144,32 +147,33 @@ def findings(df: DataFrame, row: str, load: str, stream: str, number: str, ratio
     ``ratios`` are numbers that belong within 0 to 1, ``names`` texts of which ``reference`` (field, value) lists the valid ones.
     The load before is the one of the same ``stream`` with the next lower ``number``.
     """
-    rows = once(df, row, [load, stream, number, *ratios, *names])
-    long = long_columns(rows, [row, load, stream, number], [*ratios, *names])
-    is_ratio, is_name = F.col("field").isin(*ratios), F.col("field").isin(*names)
-    ranged = long.where(is_ratio & F.col("number").isNotNull() & ~F.col("number").between(0, 1)).select(F.col(load).alias("load_id"), F.col(row).alias("row_id"), "field", F.lit("range").alias("finding"))
-
-    induced = induce(long.where(is_name & F.col("value").isNotNull()).groupBy("field", "value").agg(F.count("*").alias("n")), ["field"], reference)
-    formed = long.where(is_name & F.col("value").isNotNull()).join(induced.select("field", "value", "expression", "accepted"), ["field", "value"])
+    rows = cut(once(df, row, [load, stream, number, *ratios, *names]))
+    long = long_columns(rows, [row, load, stream, number], ratios)
+    named = long_columns(rows, [row, load, stream, number], names)
+    ranged = long.where(F.col("number").isNotNull() & ~F.col("number").between(0, 1)).select(F.col(load).alias("load_id"), F.col(row).alias("row_id"), "field", F.lit("range").alias("finding"))
+
+    present = named.where(F.col("value").isNotNull())
+    induced = cut(induce(present.groupBy("field", "value").agg(F.count("*").alias("n")), ["field"], reference).select("field", "value", "expression", "accepted"))
+    formed = salted_join(present, induced, ["field", "value"], row)
     odd = formed.where(~F.col("accepted")).select(F.col(load).alias("load_id"), F.col(row).alias("row_id"), "field", F.lit("pattern").alias("finding"))
 
-    loads = long.groupBy(load, stream, number, "field").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("m"))
-    loads = loads.join(medians(long.where(is_ratio), [load, "field"], "number"), [load, "field"], "left")
-    before = loads.select(stream, (F.col(number) + 1).alias(number), "field", F.col(load).alias("load0"), F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("median").alias("median0"))
-    pairs = loads.join(before, [stream, number, "field"])
+    # one row per load and field, each set against the row of the load before it
+    loads = long.unionByName(named).groupBy(load, stream, number, "field").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("m"))
+    loads = cut(loads.join(medians(long, [load, "field"], "number"), [load, "field"], "left"))
+    before = loads.select(stream, (F.col(number) + 1).alias(number), "field", F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("median").alias("median0"))
     more = 1_000_000
-    missing = pairs.where((F.col("m") * F.col("n0") - F.col("m0") * F.col("n")) * more > F.col("n") * F.col("n0") * round(missing_by * more)).select(F.col(load).alias("load_id"), F.lit(0).cast("long").alias("row_id"), "field", F.lit("missing").alias("finding"))
-    moved = pairs.where(F.abs(F.col("median") - F.col("median0")) > median_by).select(F.col(load).alias("load_id"), F.lit(0).cast("long").alias("row_id"), "field", F.lit("shift").alias("finding"))
+    missing = (F.col("m") * F.col("n0") - F.col("m0") * F.col("n")) * more > F.col("n") * F.col("n0") * round(missing_by * more)
+    moved = F.abs(F.col("median") - F.col("median0")) > median_by
+    changed = F.array_compact(F.array(F.when(missing, "missing"), F.when(moved, "shift")))
+    pairs = loads.join(before, [stream, number, "field"]).select(F.col(load).alias("load_id"), F.lit(0).cast("long").alias("row_id"), "field", F.explode(changed).alias("finding"))
 
-    # coverage of the accepted expressions by load, against the load before
-    cover = formed.where("accepted").groupBy(load, stream, number, "field", "expression").agg(F.count("*").alias("c"))
+    # coverage of the accepted expressions by load, against the load before: of both, counts and totals
+    cover = cut(formed.where("accepted").groupBy(load, stream, number, "field", "expression").agg(F.count("*").alias("c")))
     total = cover.groupBy(load, stream, number, "field").agg(F.sum("c").alias("t"))
-    now = total.select(load, stream, number, "field", "t")
-    was = total.select(stream, (F.col(number) + 1).alias(number), "field", F.col("t").alias("t0"))
-    both = now.join(was, [stream, number, "field"])
+    both = total.join(total.select(stream, (F.col(number) + 1).alias(number), "field", F.col("t").alias("t0")), [stream, number, "field"])
     here = cover.select(stream, number, "field", "expression", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c0"))
     there = cover.select(stream, (F.col(number) + 1).alias(number), "field", "expression", F.lit(0).cast("long").alias("c1"), F.col("c").alias("c0"))
     each = here.unionByName(there).groupBy(stream, number, "field", "expression").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).join(both, [stream, number, "field"])
     apart = each.groupBy(load, "field", "t", "t0").agg(F.sum(F.abs(F.col("c1") * F.col("t0") - F.col("c0") * F.col("t"))).alias("d"))
     turned = apart.where(F.col("d") * more > F.col("t") * F.col("t0") * round(2 * shares_by * more)).select(F.col(load).alias("load_id"), F.lit(0).cast("long").alias("row_id"), "field", F.lit("shift").alias("finding"))
-    return ranged.unionByName(odd).unionByName(missing).unionByName(moved).unionByName(turned)
+    return ranged.unionByName(odd).unionByName(pairs).unionByName(turned)
