@@ -2,10 +2,90 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphlume.llm import leakage, splitting
-from graphlume.session import table
+from graphlume.llm import clusters, digests, leakage, mixing, splitting, tokens
+from graphlume.operators.ordered import salted_join
+from graphlume.operators.packed import split_packed
+from graphlume.session import cut, table
+
+SIDES = ("clustering", "comparison", "unused")
+NODE_KEYS, NODE_SCHEMA = ["country_id", "load_day"], "country_id long, load_day timestamp"
+RUN_KEYS, RUN_SCHEMA = ["data", "heuristic", "k"], "data string, heuristic string, k int"
+
+
+def _node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "node_indicators").select("outid", *NODE_KEYS, "Country_physicians").dropDuplicates(["outid", "load_day"])
+
+
+def _run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "solver_logs").select("log_id", *RUN_KEYS, "cpu_time").dropDuplicates(["log_id"])
+
+
+def _plain(certified: DataFrame, schema: str, src: str, columns: list[str]) -> DataFrame:
+    keys = F.from_json("grp", schema)
+    named = [keys[c].alias(c) if f"{c} " in f"{schema} " else F.lit(None).cast(kind).alias(c) for c, kind in (("country_id", "long"), ("load_day", "timestamp"), ("period", "string"), ("data", "string"), ("heuristic", "string"), ("k", "int")) if c in columns]
+    return certified.select(F.lit(src).alias("src"), *named, "n", "percentile", "value", "bound", "rank_error")
+
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of Country_physicians by country and load day, and of cpu_time by data, heuristic and k."""
+    columns, out = ["country_id", "load_day", "data", "heuristic", "k"], []
+    for src, values, keys, schema, value in (
+        ("node_indicators", _node_values(spark, sf_dir), NODE_KEYS, NODE_SCHEMA, "Country_physicians"),
+        ("solver_logs", _run_values(spark, sf_dir), RUN_KEYS, RUN_SCHEMA, "cpu_time"),
+    ):
+        values = values.select(*keys, value).persist(StorageLevel.DISK_ONLY)  # read by both passes
+        made = digests.certified(digests.estimates(digests.digest(values, keys, value)), values, keys, value)
+        out.append(_plain(made, schema, src, columns))
+    return out[0].unionByName(out[1])
+
+
+def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of single loads combined: percentiles of Country_physicians by country and month."""
+    values = _node_values(spark, sf_dir).select(*NODE_KEYS, "Country_physicians")
+    loads = cut(digests.digest(values, NODE_KEYS, "Country_physicians"))
+    month = F.date_format("load_day", "yyyy-MM")
+    months = digests.regrouped(loads, NODE_SCHEMA, {"country_id": F.col("country_id"), "period": month})
+    of_month = values.select("country_id", month.alias("period"), "Country_physicians")
+    return _plain(digests.certified(digests.estimates(months), of_month, ["country_id", "period"], "Country_physicians"), "country_id long, period string", "node_indicators", ["country_id", "period"])
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "run_results").select("result_id", "partition", "Country_physicians").where("Country_physicians is not null and not isnan(Country_physicians)")
+    entries = split_packed(runs, "result_id", "partition", SIDES).where("val != ''")
+    sets = entries.groupBy("row_key").agg(F.collect_set(F.concat_ws("\x1f", "side", "val")).alias("entries"))
+    numbers = runs.dropDuplicates(["result_id"]).select(F.col("result_id").alias("row_key"), F.col("Country_physicians").alias("number"))
+    return clusters.similarity_clusters(sets.join(numbers, "row_key").select(F.col("row_key").alias("record_id"), "entries", "number"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of every cluster of at least two runs alike in partition and physicians."""
+    found = cut(_clustered(spark, sf_dir))
+    several = found.groupBy("first_id").agg(F.count("*").alias("n")).where("n > 1").select("first_id")
+    return salted_join(found, several, ["first_id"], "record_id").select("first_id", F.col("record_id").alias("result_id"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and its most typical runs."""
+    return clusters.described(cut(_clustered(spark, sf_dir)))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.array_compact(F.array(mixing.plain_name(F.col("source")))).alias("sources"), "text")
+    return mixing.mix(tokens.count_tokens(documents, "text"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each with the number of times it is used."""
+    return _mixed(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source should have and has."""
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,4 +103,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_periods, p5_found, p5_clusters, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}
