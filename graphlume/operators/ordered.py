@@ -70,3 +70,22 @@ def medians(df: DataFrame, keys: list[str], value: str, out: str = "median", low
         return F.max(F.when((F.col("_from") < rank) & (F.col("_to") >= rank), F.col("_v")))
 
     return ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(out))
+
+
+def block_pairs(rows: DataFrame, block: int = 1000, by: list[str] | None = None, key: str = "id") -> DataFrame:
+    """``*by, asked, rows``: all rows against all rows, as pairs of packed blocks of about ``block`` rows each.
+
+    For operators that compare each row with every other one (of the same ``by``): what moves is
+    n / block copies of the rows, and a task holds two blocks. ``key`` places a row in its block.
+    """
+    by = by or []
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("long").alias("_n"))
+    if by:
+        rows = rows.join(F.broadcast(sizes), by)  # one row per group
+    else:
+        rows = rows.withColumn("_n", F.lit(sizes.first()["_n"] or 1))
+    packed = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")))
+    columns = [c for c in rows.columns if c not in (*by, "_n")]
+    packed = packed.groupBy(*by, "_b", "_n").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    asked = packed.withColumnsRenamed({"rows": "asked", "_b": "_a"}).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return asked.join(packed.drop("_n"), [*by, "_b"]).select(*by, "asked", "rows")
