@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from graphlume.operators.ordered import salted_join
 from graphlume.session import cut
 
-LOCAL, DIMENSIONS, ROUNDS = 2000, 512, 40
+LOCAL, DIMENSIONS, ROUNDS = 8000, 512, 24
 #: How much the number's logarithm weighs beside the (unit) vector of entries.
 NUMBER_WEIGHT = 0.5
 #: Sets up to this size use keys of two entries; others, keys of one.
@@ -134,36 +134,39 @@ def _finish(similarity: float, tolerance: float):
 
 
 def _nodes(points: DataFrame, local: int) -> DataFrame:
-    """``points`` with ``node``: distributed 2-means on every node of more than ``local`` points, until none is left."""
-    placed = cut(points.withColumn("node", F.lit("r")))
-    for _ in range(ROUNDS):
+    """``points`` with ``node``: distributed 2-means on every node of more than ``local`` points, all such nodes in one round.
+
+    Centres are sparse: one row per node and entry, however many nodes there are. A node that is
+    still large after ``ROUNDS`` rounds (its points look the same to 2-means) is divided by hash;
+    the exact check joins again what belongs together.
+    """
+    placed = points.withColumn("node", F.lit("r"))
+    for step in range(ROUNDS + 1):
         large = placed.groupBy("node").agg(F.count("*").alias("n"), F.min_by("pid", F.xxhash64("pid")).alias("s0"), F.max_by("pid", F.xxhash64("pid")).alias("s1")).where(F.col("n") > local)
         large = cut(large)
         if large.isEmpty():
             break
-        moving = salted_join(placed, large.select("node"), ["node"], "pid")
-        flat = cut(moving.select("pid", "node", F.size("entries").alias("size"), F.explode("entries").alias("entry")))
-        # centres are sparse: one row per node, side and entry, however many nodes there are
-        seeds = moving.join(large.select("node", "s0", "s1"), "node").where("pid in (s0, s1)").select("node", F.when(F.col("pid") == F.col("s0"), 0).otherwise(1).alias("side"), F.explode("entries").alias("entry"), (1 / F.sqrt(F.size("entries"))).alias("w"))
-        centres, sided = seeds, None
-        for step in range(3):
-            sides = centres.groupBy("node", "entry").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("w0"), F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("w1"))
-            met = salted_join(flat, sides, ["node", "entry"], "pid")
-            lean = met.groupBy("pid", "node", "size").agg((F.sum(F.col("w1") - F.col("w0")) / F.sqrt(F.col("size"))).alias("lean"))
-            # points that lean to no side are halved by hash, so that a split always goes on
-            sided = flat.select("pid", "node", "size").distinct().join(lean.select("pid", "lean"), "pid", "left")
-            tie = F.coalesce("lean", F.lit(0.0)) == 0
-            sided = sided.withColumn("side", F.when(tie, F.pmod(F.xxhash64("pid", F.lit(step)), F.lit(2))).otherwise((F.col("lean") > 0).cast("long")).cast("int")).select("pid", "node", "side")
-            if step < 2:
-                weighed = flat.join(sided.select("pid", "side"), "pid")
-                sums = weighed.groupBy("node", "side", "entry").agg(F.sum(1 / F.sqrt("size")).alias("w"))
-                norms = sums.groupBy("node", "side").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-                centres = cut(sums.join(norms, ["node", "side"]).select("node", "side", "entry", (F.col("w") / F.col("norm")).alias("w")))
-        sided = cut(sided)
-        # a side with less than a hundredth does not divide the work: halve such nodes by hash
-        balance = sided.groupBy("node").agg(F.avg("side").alias("right"))
-        uneven = balance.where("right < 0.01 or right > 0.99").select("node", F.lit(True).alias("uneven"))
-        sided = salted_join(sided, uneven, ["node"], "pid", "left").select("pid", F.when(F.col("uneven"), F.pmod(F.xxhash64("pid", F.lit("even")), F.lit(2)).cast("int")).otherwise(F.col("side")).alias("side"))
+        if step == ROUNDS:
+            parts = large.select("node", F.ceil(F.col("n") / local).alias("parts"))
+            even = salted_join(placed, parts, ["node"], "pid", "left")
+            place = F.coalesce(F.pmod(F.xxhash64("pid"), F.col("parts")).cast("string"), F.lit(""))
+            return cut(even.withColumn("node", F.concat("node", F.lit("."), place)).drop("parts"))
+        moving = salted_join(placed, large.select("node", "s0", "s1"), ["node"], "pid")
+        flat = moving.select("pid", "node", F.size("entries").alias("size"), F.explode("entries").alias("entry"))
+        seeds = moving.where("pid in (s0, s1)").select("node", F.when(F.col("pid") == F.col("s0"), -1.0).otherwise(1.0).alias("sign"), F.size("entries").alias("size"), F.explode("entries").alias("entry"))
+        seeds = seeds.groupBy("node", "entry").agg(F.sum(F.col("sign") / F.sqrt("size")).alias("w"))
+
+        def leaning(weights: DataFrame, salt: int) -> DataFrame:
+            # an entry's weight is that of the right centre minus that of the left; points that lean to neither are halved by hash
+            lean = salted_join(flat, weights, ["node", "entry"], "pid", "left").groupBy("pid", "node", "size").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("lean"))
+            tie = F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(2)).cast("int")
+            return lean.select("pid", "node", "size", F.when(F.col("lean") == 0, tie).otherwise((F.col("lean") > 0).cast("int")).alias("side"))
+
+        first = leaning(seeds, 2 * step)
+        weighed = flat.join(first.select("pid", "side"), "pid").groupBy("node", "side", "entry").agg(F.sum(1 / F.sqrt("size")).alias("w"))
+        norms = weighed.groupBy("node", "side").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        centres = cut(weighed.join(norms, ["node", "side"]).groupBy("node", "entry").agg(F.sum((2 * F.col("side") - 1) * F.col("w") / F.col("norm")).alias("w")))
+        sided = leaning(centres, 2 * step + 1).select("pid", "side")
         placed = cut(placed.join(sided, "pid", "left").withColumn("node", F.concat("node", F.coalesce(F.col("side").cast("string"), F.lit("")))).drop("side"))
     return placed
 
@@ -215,6 +218,8 @@ def _linked_leaves(points: DataFrame, similarity: float, tolerance: float) -> Da
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``leaf, root`` (the least member) of every vertex of an edge list ``a, b``."""
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    if edges.isEmpty():
+        most_rounds = 0
     for _ in range(most_rounds):
         # large star: neighbours above a vertex go to its least neighbour; small star: the rest do
         both = edges.union(edges.select("b", "a"))
