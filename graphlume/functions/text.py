@@ -27,5 +27,9 @@ def merge_maps(first: Column, *others: Column) -> Column:
     """Maps in one; the later map's value wins."""
     out = first
     for other in others:
-        out = F.map_concat(F.map_filter(out, lambda k, _, o=other: ~F.map_contains_key(o, k)), other)
+        out = F.map_concat(_without(out, other), other)
     return out
+
+
+def _without(one: Column, other: Column) -> Column:
+    return F.map_filter(one, lambda k, _: ~F.map_contains_key(other, k))

