@@ -225,6 +225,7 @@ class Codes:
     chars: dict[str, float]
     spell: float
     dialects: dict[str, float]
+    new_dialect: float = 20.0
     rare: float = 20.0
 
     def spelled(self, value: str) -> float:
@@ -234,7 +235,7 @@ class Codes:
         values, d = self.values, parse.dialect
         bits = sum(values[v] if v in values else self.spelled(v) for _, v in parse.values)
         bits += len(parse.values) * ((DELIMITERS[d.delimiter] and math.log2(len(DELIMITERS[d.delimiter]))) or 0)
-        return bits + self.dialects.get(d.name, self.rare) + (self.spelled(parse.loose) if parse.loose else 0)
+        return bits + self.dialects.get(d.name, self.new_dialect) + (self.spelled(parse.loose) if parse.loose else 0)
 
 
 def cheapest(parses: Iterable[Parse], codes: Codes) -> Parse | None:
@@ -297,17 +298,21 @@ def learn_codes(texts: DataFrame, sections: Sections | None, rounds: int = 2, mi
         for r in counts.where(F.col("weight") >= floor).collect():  # at most 1 / min_share values, 10 / min_share characters and the dialects
             kept[r["kind"]][r["value"]] = r["weight"]
         counts.unpersist()
-        # the announcement of a spelled value gets what the coded ones leave, and at least 1 / min_share of them
-        coded = sum(kept["value"].values())
+        # a value's code is its share, and each use of it bears its part of writing the code book's entry, the value
+        # spelled once; it is coded only where that is shorter than spelling it every time. The announcement of a
+        # spelled value gets the share that coded values leave, so both are settled in turn.
         every = max(total.get("all", 0.0), 1.0)
-        spell = max(every - coded, every * min_share)
-        values = {v: -math.log2(w / (coded + spell)) for v, w in kept["value"].items()}
         chars = {c: -math.log2(w / total["char"]) for c, w in kept["char"].items()}
-        # a value is coded only where that is shorter than spelling it
-        draft = Codes({}, chars, -math.log2(spell / (coded + spell)), {})
-        values = {v: b for v, b in values.items() if b < draft.spelled(v)}
-        dialects = {d: -math.log2(w / total["dialect"]) for d, w in kept["dialect"].items()}
-        codes = Codes(values, chars, draft.spell, dialects)
+        coded, spell, values = kept["value"], every / 2, {}
+        for _ in range(3):
+            draft = Codes({}, chars, -math.log2(spell / every), {})
+            costs = {v: -math.log2(w / every) + draft.spelled(v) / max(w, 1.0) for v, w in coded.items()}
+            values = {v: b for v, b in costs.items() if b < draft.spelled(v)}
+            spell = max(every - sum(coded[v] for v in values), every * min_share)
+        draft = Codes({}, chars, -math.log2(min(spell, every) / every), {})
+        fields = total.get("dialect", 0.0) + 1.0
+        dialects = {d: -math.log2(min(w, fields - 0.5) / fields) for d, w in kept["dialect"].items()}
+        codes = Codes(values, chars, draft.spell, dialects, math.log2(fields))
     return codes
 
 
