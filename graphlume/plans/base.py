@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,34 @@ TRADE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 MANY_TO_ONE, MANY_TO_MANY = ["IN_REGION", "CUST_IN", "SUPP_IN", "PLACED_BY"], ["CONTAINS", "SUPPLIED_BY"]
 
 
+def _shift(digits: int) -> float:
+    return 1.3 * 10.0 ** -(digits + 2)
+
+
+def _sure(sql: str) -> str:
+    """``round(x, d)`` as ``round(x + shift, d)``, as ``r`` does it."""
+    out, at = [], 0
+    for m in re.finditer(r"\bround\(", sql):
+        if m.start() < at:
+            continue
+        depth, comma, end = 1, None, m.end()
+        while depth:
+            c = sql[end]
+            depth += (c in "([") - (c in ")]")
+            comma = end if c == "," and depth == 1 else comma
+            end += 1
+        out += [sql[at : m.end()], _sure(sql[m.end() : comma]), f" + {_shift(int(sql[comma + 1 : end - 1])):.2e}", sql[comma:end]]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def query(sql: str | None = None):
     """Register a query by its function's name, with the SQL that gives the same rows if SQL can."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = _sure(sql)
         return f
 
     return register
@@ -34,10 +56,6 @@ def trade(spark: SparkSession, d: str) -> PropertyGraph:
 
 
 def r(value: Column | str, digits: int = 6) -> Column:
-    """Sums of doubles depend on their order in the last places; both sides are rounded."""
-    return F.round(F.col(value) if isinstance(value, str) else value, digits)
-
-
-def off_half(name: str) -> Column:
-    """Mean prices end in exact halves of the last place kept; a small shift on both sides makes their rounding certain."""
-    return F.col(name) + 0.000013 if name.endswith("extendedprice") else F.col(name)
+    """Sums of doubles depend on their order in the last places, so both sides are rounded; means of decimals
+    end in exact halves of the last place kept, so both sides are shifted by about a hundredth of that place first."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + F.lit(_shift(digits)), digits)

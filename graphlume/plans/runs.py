@@ -231,13 +231,15 @@ def ordering_rules(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("data", runlog.heuristic_order(F.col("heuristic")))))
 
 
-@query("""select * from (values ('SUPP_IN', 'dropped', 'unwanted', null::double, null::double, 'bigint'), ('CUST_IN__neighbor__avg_c_acctbal', 'kept', null, 0, 1, 'double'), ('SUPP_IN__neighbor__avg_s_acctbal', 'kept', null, 0, 1, 'double'))
-  v("column", action, reason, null_ratio, distinct_ratio, dtype_before)""")
+@query("""with c as (select n_nationkey, round(avg(c_acctbal), 6) as a from nation left join customer on c_nationkey = n_nationkey group by 1), s as (select n_nationkey, round(avg(s_acctbal), 6) as a from nation left join supplier on s_nationkey = n_nationkey group by 1)
+  select 'SUPP_IN' as "column", 'dropped' as action, 'unwanted' as reason, null::double as null_ratio, null::double as distinct_ratio, 'bigint' as dtype_before
+  union all select 'CUST_IN__neighbor__avg_c_acctbal', 'kept', null, round(1 - count(a) / count(*), 9), round(count(distinct a) / count(a), 9), 'double' from c
+  union all select 'SUPP_IN__neighbor__avg_s_acctbal', 'kept', null, round(1 - count(a) / count(*), 9), round(count(distinct a) / count(a), 9), 'double' from s""")
 def report_concat(spark: SparkSession, d: str) -> DataFrame:
     """The pipeline's order: suffixes, then correlation, then density and distinctness; reports one under another."""
     kept, first = validate.drop_suffixes(indicator_table_nations(spark, d).drop("CUST_IN"), ["SUPP_IN"])
     kept, second = validate.drop_correlated(kept, 0.999)
-    return first.unionByName(second).unionByName(validate.process(kept, 0.9, 1e-6, 1.0)[1])
+    return first.unionByName(second).unionByName(validate.process(kept, 0.9, 1e-6, 1.0)[1]).withColumns({"null_ratio": r("null_ratio", 9), "distinct_ratio": r("distinct_ratio", 9)})
 
 
 @query("""select o_orderkey as outid, o_totalprice from orders join customer on o_custkey = c_custkey where o_totalprice > 100000 and not ends_with(o_orderpriority, 'LOW')""")
