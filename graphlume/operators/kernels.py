@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
 from graphlume.operators.metrics import unpivoted
-from graphlume.operators.ordered import block_pairs
+from graphlume.operators.ordered import block_pairs, running_sum
 
 Centres = list[list[float]]
 #: Fuzzifier, tolerance, iterations.
@@ -219,8 +219,7 @@ def pair_sums(labelled: DataFrame, columns: list[str]) -> DataFrame:
     counts = long.groupBy("label", "feature", "value").agg(F.count("*").alias("c"))
     keys = ["label", "feature"]
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("b", before).join(F.broadcast(totals), keys)  # clusters x columns rows
+    ranked = running_sum(counts, keys, ["value"], "c", "b").join(F.broadcast(totals), keys)  # clusters x columns rows
     x = F.col("value") - F.col("mean")
     # c equal values at ranks b + 1 … b + c: their 2r - n - 1 add up to c (2b + c - n)
     return ranked.groupBy(*keys, "n").agg(F.sum(x * F.col("c") * (2 * F.col("b") + F.col("c") - F.col("n"))).alias("l1"), (F.col("n") * F.sum(F.col("c") * x * x) - F.pow(F.sum(F.col("c") * x), F.lit(2.0))).alias("l2"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
-from graphlume.operators.ordered import block_pairs
+from graphlume.operators.ordered import block_pairs, with_previous
 from graphlume.session import cut
 
 #: Thresholds of the categories.
@@ -39,10 +39,9 @@ def bimodality(long: DataFrame) -> DataFrame:
 def gap_cv(long: DataFrame) -> DataFrame:
     """``feature, cv``: coefficient of variation (population) of the gaps between sorted values; infinite if all are equal, null below 2.
 
-    Equal values give gaps of 0, so the window runs over distinct values with their counts only."""
+    Equal values give gaps of 0, so only distinct values with their counts are put in order."""
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("feature").orderBy("value"))
-    gaps = counts.withColumn("gap", step)
+    gaps = with_previous(counts, ["feature"], ["value"], "value", "before").withColumn("gap", F.col("value") - F.col("before"))
     sums = gaps.groupBy("feature").agg(F.sum("c").alias("n"), F.sum("gap").alias("s"), F.max("gap").alias("top"))
     n_gaps = F.col("n") - 1
     mean = F.coalesce("s", F.lit(0.0)) / n_gaps

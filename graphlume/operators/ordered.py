@@ -47,6 +47,28 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: s
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``amount`` over the rows before in ``order`` within ``keys`` (0 for the first).
+
+    ``order`` must be unique within ``keys``. Sums run within range partitions; what comes before a partition
+    is added from one row per key and partition."""
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_at", F.spark_partition_id()))
+    before = (Window.unboundedPreceding, -1)
+    inside = F.sum(amount).over(Window.partitionBy("_at", *keys).orderBy(*order).rowsBetween(*before))
+    totals = placed.groupBy("_at", *keys).agg(F.sum(amount).alias("_t"))
+    earlier = F.sum("_t").over(Window.partitionBy(*keys or [F.lit(1)]).orderBy("_at").rowsBetween(*before))  # a key's partitions
+    totals = totals.select("_at", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(earlier, F.lit(0)).alias("_e"))
+    joined = placed.withColumn(out, F.coalesce(inside, F.lit(0))).join(totals.withColumnRenamed("_at", "_at2"), (F.col("_at") == F.col("_at2")) & _same_keys(keys), "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_e", F.lit(0))).drop("_at", "_at2", "_e", *(f"_k{i}" for i in range(len(keys))))
+
+
+def _same_keys(keys: list[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def medians(df: DataFrame, keys: list[str], value: str, out: str = "median", low: float = 0.0, high: float = 1.0, bins: int = 4096) -> DataFrame:
     """Exact medians (mean of the two middle values) of the values within ``low`` to ``high``.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlume.session import cut
+
 #: The forms of log file names and log lines.
 FILE_NAME = r"^([a-zA-Z0-9_-]+)_(lp|ls|rd|sls|exp)_(\d+)_(\d+)\.log$"
 SOLUTION = r"\[best solution\]\s*:\s*\[([^\]]+)\]"
@@ -106,17 +108,33 @@ def adjusted_rand(a: Column, b: Column) -> Column:
 
 
 def ari_pairs(runs: DataFrame, keys: list[str], run: str, labels: str) -> DataFrame:
-    """``*keys, pairs, mean_ari``: agreement of the solutions of all pairs of runs of a group.
-
-    Equal solutions are counted, not paired: pairs are formed between distinct solutions with
-    their numbers, so that a group of many equal runs stays small."""
-    distinct = runs.where(F.col(labels).isNotNull()).groupBy(*keys, labels).agg(F.count(run).alias("m"))
-    left = distinct.select(*keys, F.col(labels).alias("x"), F.col("m").alias("mx"))
-    right = distinct.select(*keys, F.col(labels).alias("y"), F.col("m").alias("my"))
-    same = distinct.select(*keys, F.lit(1.0).alias("ari"), _pairs(F.col("m").cast("double")).alias("w"))
-    apart = left.join(right, keys).where(F.to_json("x") < F.to_json("y")).select(*keys, adjusted_rand(F.col("x"), F.col("y")).alias("ari"), (F.col("mx") * F.col("my")).cast("double").alias("w"))
-    every = same.unionByName(apart).where("ari is not null and w > 0")
-    return every.groupBy(*keys).agg(F.sum("w").cast("long").alias("pairs"), (F.sum(F.col("ari") * F.col("w")) / F.sum("w")).alias("mean_ari"))
+    """``*keys, pairs, mean_ari``: agreement of the solutions of all pairs of runs of a group; runs of different length make no pair.
+
+    No pair of runs is formed. The index of two runs needs, beside each run's own number R of element
+    pairs with equal labels, only how many element pairs are equal in both. Summed over the runs of two
+    classes of equal R that is the scalar product of the classes' counts by element pair. So runs are
+    added up by (group, length, R), of which there are few, and only these classes meet each other.
+    """
+    own = runs.where(F.col(labels).isNotNull()).select(*keys, F.col(labels).alias("v"), F.size(labels).alias("n"))
+    equal = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0))), lambda y: (x == y).cast("long"))))
+    sized = own.withColumn("e", equal).withColumn("r", F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x))
+    classes = [*keys, "n", "r"]
+    size = sized.groupBy(*classes).agg(F.count("*").alias("m"))
+    counts = sized.select(*classes, F.posexplode("e").alias("at", "x")).where("x = 1").groupBy(*classes, "at").agg(F.count("*").alias("c"))
+    packed = counts.groupBy(*classes).agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("c"))  # element pairs of a solution
+    every = F.sequence(F.lit(0), F.greatest(F.col("n") * (F.col("n") - 1) / 2 - 1, F.lit(0)).cast("int"))
+    none = F.create_map().cast("map<int,bigint>")
+    dense = cut(size.join(packed, classes, "left").withColumn("c", F.coalesce("c", none)).withColumn("c", F.transform(every, lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0).cast("long")))))
+    left, right = dense.withColumnsRenamed({"r": "r1", "m": "m1", "c": "c1"}), dense.withColumnsRenamed({"r": "r2", "m": "m2", "c": "c2"})
+    met = left.join(right, [*keys, "n"]).where("r1 <= r2")
+    same = F.col("r1") == F.col("r2")
+    product = F.aggregate(F.zip_with("c1", "c2", lambda a, b: F.when(same, a * (a - 1) / 2).otherwise((a * b).cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    pairs = F.when(same, F.col("m1") * (F.col("m1") - 1) / 2).otherwise((F.col("m1") * F.col("m2")).cast("double"))
+    expected = F.try_divide(F.col("r1") * F.col("r2"), F.col("n") * (F.col("n") - 1) / 2)
+    bottom = (F.col("r1") + F.col("r2")) / 2 - expected
+    total = F.when((F.col("n") <= 1) | (bottom == 0), pairs).otherwise(F.try_divide(product - pairs * expected, bottom))
+    found = met.select(*keys, pairs.alias("w"), total.alias("t")).where("w > 0")
+    return found.groupBy(*keys).agg(F.sum("w").cast("long").alias("pairs"), (F.sum("t") / F.sum("w")).alias("mean_ari"))
 
 
 def mean_ari(per_group: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,10 +6,11 @@ each); which columns stay is then decided on the driver from those numbers alone
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
+from graphlume.operators.ordered import running_sum
 
 REPORT = "column string, action string, reason string, null_ratio double, distinct_ratio double, dtype_before string"
 CHUNK = 2000
@@ -78,13 +79,12 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """Average ranks of each column's present values.
 
-    The rank of a value is found from the counts of distinct values, so equal values move as one row;
-    each column is one task only for its distinct values."""
+    Equal values move as one row with their count, and ranks are running sums of the counts."""
     out = df.select(*keep, *(as_number(c).alias(c) for c in columns))
     for c in columns:
         counts = out.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("_v")).agg(F.count("*").alias("_c"))
-        ranks = counts.select("_v", (F.sum("_c").over(Window.orderBy("_v")) - (F.col("_c") - 1) / 2).alias("_r"))
-        out = out.join(ranks, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r", "_c")
+        ranks = running_sum(counts, [], ["_v"], "_c", "_b").select("_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias("_r"))
+        out = out.join(ranks, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
     return out
 
 
@@ -128,10 +128,9 @@ def percentile_scale(df: DataFrame, key: str, column: str) -> DataFrame:
     """``key, column, scaled``: (average rank - 1) / (n - 1) of present values; 0.5 for a single or constant value; null stays."""
     x = as_number(column)
     counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count("*").alias("_c"))
-    # the window runs over distinct values, which the aggregate has already combined
-    whole = Window.partitionBy(F.lit(1))
-    ranks = counts.select("_v", (F.sum("_c").over(Window.orderBy("_v")) - (F.col("_c") - 1) / 2).alias("_r"), F.sum("_c").over(whole).alias("_n"), F.count("*").over(whole).alias("_d"))
-    scaled = F.when(F.col("_d") == 1, F.lit(0.5)).otherwise((F.col("_r") - 1) / (F.col("_n") - 1))
+    ranks = running_sum(counts, [], ["_v"], "_c", "_b").select("_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias("_r"))
+    whole = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()  # one row
+    scaled = F.lit(0.5) if whole["n"] < 2 or whole["lo"] == whole["hi"] else (F.col("_r") - 1) / (whole["n"] - 1)
     return df.select(key, x.alias(column)).join(ranks, F.col(f"`{column}`") == F.col("_v"), "left").select(key, f"`{column}`", F.when(F.col("_v").isNotNull(), scaled).alias("scaled"))
 
 
