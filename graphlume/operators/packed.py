@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -217,32 +217,47 @@ class Sections:
                     yield parsed
 
 
+#: Bits to choose one of a dialect's delimiters.
+_CHOICE = {name: math.log2(len(marks)) if marks else 0.0 for name, marks in DELIMITERS.items()}
+
+
+class _CharBits(dict):
+    """Bits by character; 20 for one too rare to be counted."""
+
+    def __missing__(self, key: str) -> float:
+        return 20.0
+
+
 @dataclass(frozen=True)
 class Codes:
     """Code lengths in bits: of values, of characters, of a spelled value's announcement, of dialects."""
 
     values: dict[str, float]
-    chars: dict[str, float]
+    chars: _CharBits
     spell: float
     dialects: dict[str, float]
     new_dialect: float = 20.0
-    rare: float = 20.0
 
     def spelled(self, value: str) -> float:
-        return self.spell + self.chars.get("\0", 6.0) + sum(self.chars.get(c, self.rare) for c in value)
+        return self.spell + self.chars["\0"] + sum(map(self.chars.__getitem__, value))
 
-    def cost(self, parse: Parse) -> float:
+    def cost(self, parse: Parse, bound: float = math.inf) -> float:
+        """Bits of a parse; infinite as soon as they exceed ``bound``."""
         values, d = self.values, parse.dialect
-        bits = sum(values[v] if v in values else self.spelled(v) for _, v in parse.values)
-        bits += len(parse.values) * ((DELIMITERS[d.delimiter] and math.log2(len(DELIMITERS[d.delimiter]))) or 0)
-        return bits + self.dialects.get(d.name, self.new_dialect) + (self.spelled(parse.loose) if parse.loose else 0)
+        bits = self.dialects.get(d.name, self.new_dialect) + len(parse.values) * _CHOICE[d.delimiter]
+        for _, v in parse.values:
+            code = values.get(v)
+            bits += self.spelled(v) if code is None else code
+            if bits > bound:
+                return math.inf
+        return bits + (self.spelled(parse.loose) if parse.loose else 0)
 
 
 def cheapest(parses: Iterable[Parse], codes: Codes) -> Parse | None:
     """Ties go to the dialect tried first."""
     best = None
     for parse in parses:
-        parse.bits = codes.cost(parse)
+        parse.bits = codes.cost(parse, best.bits if best else math.inf)
         if best is None or parse.bits < best.bits:
             best = parse
     return best
@@ -257,8 +272,13 @@ def _counter(sections: Sections | None, codes: Codes | None):
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple[str, str], float] = defaultdict(float)
+        chars: dict[float, Counter] = defaultdict(Counter)
 
         def flush() -> pd.DataFrame:
+            for weight, seen in chars.items():
+                for c, n in seen.items():
+                    found["char", c] += weight * n
+            chars.clear()
             frame = pd.DataFrame([(k, v, w) for (k, v), w in found.items()], columns=["kind", "value", "weight"])
             found.clear()
             return frame
@@ -271,16 +291,14 @@ def _counter(sections: Sections | None, codes: Codes | None):
                 for parse in parses:
                     weight = 1.0 / len(parses)
                     found["dialect", parse.dialect.name] += weight
+                    found["all", ""] += weight * len(parse.values)
                     for _, value in parse.values:
-                        found["all", ""] += weight
                         if len(value) <= LONGEST_CODED:
                             found["value", value] += weight
-                        found["char", "\0"] += weight
-                        for c in value:
-                            found["char", c] += weight
+                    chars[weight].update("\0".join([v for _, v in parse.values]) + "\0")
                 if len(found) > FLUSH:
                     yield flush()
-        if found:
+        if found or chars:
             yield flush()
 
     return count
@@ -302,7 +320,7 @@ def learn_codes(texts: DataFrame, sections: Sections | None, rounds: int = 2, mi
         # spelled once; it is coded only where that is shorter than spelling it every time. The announcement of a
         # spelled value gets the share that coded values leave, so both are settled in turn.
         every = max(total.get("all", 0.0), 1.0)
-        chars = {c: -math.log2(w / total["char"]) for c, w in kept["char"].items()}
+        chars = _CharBits({c: -math.log2(w / total["char"]) for c, w in kept["char"].items()})
         coded, spell, values = kept["value"], every / 2, {}
         for _ in range(3):
             draft = Codes({}, chars, -math.log2(spell / every), {})
