@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlume.functions.text import element_name, ends_with_any, finite, merge_maps
-from graphlume.operators import collect, runlog, search, validate
+from graphlume.operators import collect, packed, runlog, search, validate
 from graphlume.plans.base import query, r, trade
 from graphlume.plans.collection import indicator_table_nations
 from graphlume.session import table
@@ -66,8 +66,12 @@ _SOL = r"""s as (select *, list_transform(regexp_extract_all(clusters, '-?[01]')
   f as (select data, heuristic, k, case when n <= 1 or (rr + ss) / 2 - rr * ss / (n * (n - 1) / 2) = 0 then 1 else (cc - rr * ss / (n * (n - 1) / 2)) / ((rr + ss) / 2 - rr * ss / (n * (n - 1) / 2)) end as ari from t join u using (i, j) join w using (i, j))
   select data, heuristic, k, count(*) as pairs, round(avg(ari), 6) as mean_ari from f group by 1, 2, 3""")
 def ari_pairs(spark: SparkSession, d: str) -> DataFrame:
-    solved = _runs(spark, d).where(F.col("clusters").rlike(r"^\[-?[01](;-?[01])*\]$"))
-    solved = solved.withColumn("v", F.transform(F.regexp_extract_all("clusters", F.lit("(-?[01])"), F.lit(1)), lambda x: x.cast("int")))
+    """In every notation; an entry left empty keeps its position and equals no other entry, so it is a label of its own."""
+    runs = _runs(spark, d)
+    entries = packed.split_packed(runs, "log_id", "clusters")
+    label = F.when(F.col("val") == "", F.concat(F.lit("?"), F.col("pos"))).otherwise(F.col("val"))
+    vectors = entries.groupBy(F.col("row_key").alias("log_id")).agg(F.array_sort(F.collect_list(F.struct("pos", label.alias("val"))))["val"].alias("v"))
+    solved = runs.select("log_id", "data", "heuristic", "k").join(vectors, "log_id")
     return runlog.ari_pairs(solved, ["data", "heuristic", "k"], "log_id", "v").withColumn("mean_ari", r("mean_ari"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlume.operators import insights, kernels, metrics, runlog, search, validate
+from graphlume.plans import runs
 from graphlume.sources import files
 
 VECTORS = {"even_grid": [1, 2, 3, 4, 5, 6], "bimodal": [1, 1.2, 1.1, 5, 5.1, 5.2, 5.3], "messy": [1, 1, 3, 5, 5, 6.7, 6.8, 7.4], "tiny": [0, 1, 2], "flat": [2, 2, 2, 2, 2]}
@@ -135,6 +136,31 @@ def test_rand_index(spark):
     assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 1.0 and got[3] is None and got[4] == 1.0
 
 
+def test_agreement_in_every_notation(spark, tmp_path):
+    draw, writers = random.Random(5), [
+        lambda v: "[" + ";".join(v) + "]", ",".join, " | ".join, lambda v: ",".join(f'"{x}"' for x in v), lambda v: "[" + ";".join("+1" if x == "1" else x for x in v) + "]",
+        lambda v: ";".join(v).replace("-", "\u2212"), lambda v: "[" + " ".join(v) + "]", lambda v: ",".join(v) + ",", lambda v: "[" + ";".join(v),
+    ]
+    vectors = [[draw.choice(("-1", "0", "1")) for _ in range(9)] for _ in range(45)]
+    texts = [writers[i % len(writers)](v) for i, v in enumerate(vectors)]
+    texts[0], vectors[0][4] = ";".join([*vectors[0][:4], "", *vectors[0][5:]]), "unknown"
+    rows = [(i, "petals", "ls" if i % 2 else "rd", 3, t) for i, t in enumerate(texts)] + [(98, "petals", "ls", 3, None), (99, "petals", "ls", 3, "")]
+    spark.createDataFrame(rows, "log_id long, data string, heuristic string, k int, clusters string").write.parquet(str(tmp_path / "solver_logs.parquet"))
+
+    def index(a, b):
+        pairs = [(a[i] == a[j], b[i] == b[j]) for i in range(len(a)) for j in range(i)]
+        both, x, y = sum(p and q for p, q in pairs), sum(p for p, _ in pairs), sum(q for _, q in pairs)
+        expected = x * y / len(pairs)
+        return 1.0 if (x + y) / 2 == expected else (both - expected) / ((x + y) / 2 - expected)
+
+    got = {r["heuristic"]: (r["pairs"], r["mean_ari"]) for r in runs.ari_pairs(spark, str(tmp_path)).collect()}
+    wanted = {}
+    for h, first in (("rd", 0), ("ls", 1)):
+        of = [index(vectors[i], vectors[j]) for i in range(first, 45, 2) for j in range(first, i, 2)]
+        wanted[h] = (len(of), pytest.approx(sum(of) / len(of), abs=2e-6))
+    assert got == wanted
+
+
 def test_error_bars(spark):
     row = spark.range(1).select(*runlog.error_bars(F.lit(2.0), F.lit(3.0), False), *runlog.error_bars(F.lit(2.0), F.lit(8.0), True)).first()
     f = math.exp(math.sqrt(math.log(5)))
