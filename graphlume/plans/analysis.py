@@ -239,11 +239,11 @@ def co_membership(spark: SparkSession, d: str) -> DataFrame:
     return search.co_membership(_parts(spark, d), "p_partkey")
 
 
-def _searched(spark: SparkSession, d: str, method: str, steps: int = 3, kernel: str = "kmeans", depth: int = 2) -> DataFrame:
+def _searched(spark: SparkSession, d: str, method: str, kernel: str = "kmeans") -> DataFrame:
     small = _nations(spark, d)
     columns = small.columns[1:]
     problem = search.Problem(small, "outid", columns, 2, kernel)
-    solution, score = search.search(problem, method, steps=steps, starts=2, max_depth=depth)
+    solution, score = search.search(problem, method)
     return spark.createDataFrame([(method, list(solution), float(score))], "method string, solution array<int>, score double")
 
 
@@ -259,17 +259,17 @@ def search_smart(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_local(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(spark, d, "ls", steps=1)
+    return _searched(spark, d, "ls")
 
 
 @query()
 def search_smart_local(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(spark, d, "sls", steps=1)
+    return _searched(spark, d, "sls")
 
 
 @query()
 def search_exhaustive(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(spark, d, "exp", depth=2)
+    return _searched(spark, d, "exp")
 
 
 @query()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlume.operators import insights, kernels, metrics, runlog, search, validate
-from graphlume.plans import runs
+from graphlume.plans import analysis, runs
 from graphlume.sources import files
 
 VECTORS = {"even_grid": [1, 2, 3, 4, 5, 6], "bimodal": [1, 1.2, 1.1, 5, 5.1, 5.2, 5.3], "messy": [1, 1, 3, 5, 5, 6.7, 6.8, 7.4], "tiny": [0, 1, 2], "flat": [2, 2, 2, 2, 2]}
@@ -103,6 +103,22 @@ def test_search(spark):
     assert search.two_means([1.0, 1.1, 9.0]) == [0, 0, 1]
 
 
+def test_searches_go_to_their_end(spark, data, monkeypatch):
+    tried, wanted = [], (-1, 1, -1, 1)
+
+    def score(problem, solution):
+        tried.append(solution)
+        return -float(sum(abs(a - b) for a, b in zip(solution, wanted))) if search.feasible(solution) else float("-inf")
+
+    monkeypatch.setattr(search.Problem, "score", score)
+    for query in (analysis.search_exhaustive, analysis.search_local, analysis.search_smart_local):
+        tried.clear()
+        found = query(spark, data).first()
+        assert tuple(found["solution"]) == wanted and found["score"] == 0
+        if query is analysis.search_exhaustive:
+            assert len(set(tried)) == 3**4
+
+
 def test_top_pairs(spark):
     df = matrix(spark, 60)
     rows, wanted = df.collect(), {}
