@@ -126,8 +126,7 @@ def _finish(similarity: float, tolerance: float):
         node = _Node(points["entries"].to_list(), points["number"].to_numpy(), similarity, tolerance)
         pids, out = points["pid"].to_numpy(), []
         for rows, centre in node.leaves():
-            away, near = np.sqrt(node.to_centre(rows)), node.similar(rows, centre)
-            out.append(pd.DataFrame({"pid": pids[rows], "leaf": pids[centre], "away": away.astype(float), "apart": 1 - near}))
+            out.append(pd.DataFrame({"pid": pids[rows], "leaf": pids[centre], "apart": 1 - node.similar(rows, centre)}))
         return pd.concat(out, ignore_index=True)
 
     return finish
@@ -235,8 +234,25 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.groupBy(F.col("b").alias("leaf")).agg(F.min("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
-def similarity_clusters(records: DataFrame, similarity: float = 0.6, tolerance: float = 0.1, local: int = LOCAL) -> DataFrame:
-    """``record_id, first_id, leaf, away``: the cluster of each record (its least record id), its leaf and its distance to the leaf's centre.
+def _from_centre(points: DataFrame, members: DataFrame) -> DataFrame:
+    """``pid, away``: the distance of each point to the centre of all records of its cluster (``root``), by sparse aggregates.
+
+    A record is its entries as a vector of length 1 beside the logarithm of its number. Rounded, so that ties are ties in any order of adding up.
+    """
+    of = cut(points.join(members.groupBy("pid", "root").agg(F.count("*").alias("m")), "pid"))
+    y = NUMBER_WEIGHT * F.signum("number") * F.log1p(F.abs("number") * 1000)
+    totals = of.groupBy("root").agg(F.sum("m").alias("n"), (F.sum(F.col("m") * y) / F.sum("m")).alias("mean"))
+    flat = of.select("pid", "root", "m", F.sqrt(F.size("entries")).alias("length"), F.explode("entries").alias("entry"))
+    weights = cut(flat.groupBy("root", "entry").agg(F.sum(F.col("m") / F.col("length")).alias("w")))
+    centres = totals.join(weights.groupBy("root").agg(F.sum(F.col("w") * F.col("w")).alias("ww")), "root")
+    dots = salted_join(flat, weights, ["root", "entry"], "pid").groupBy("pid").agg(F.sum(F.col("w") / F.col("length")).alias("dot"))
+    both = salted_join(of.select("pid", "root", y.alias("y")).join(dots, "pid"), centres, ["root"], "pid")
+    n, off = F.col("n"), F.col("y") - F.col("mean")
+    return both.select("pid", F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - 2 * F.col("dot") / n + F.col("ww") / (n * n) + off * off)), 6).alias("away"))
+
+
+def similarity_clusters(records: DataFrame, similarity: float = 0.6, tolerance: float = 0.1, local: int = LOCAL, away: bool = True) -> DataFrame:
+    """``record_id, first_id, leaf, away``: the cluster of each record (its least record id), its leaf and, if asked for, its distance to the cluster's centre.
 
     ``records`` has ``record_id LONG``, ``entries ARRAY<STRING>`` and ``number DOUBLE``.
     """
@@ -251,19 +267,20 @@ def similarity_clusters(records: DataFrame, similarity: float = 0.6, tolerance:
     ordered = salted_join(flat, counts, ["entry"], "pid").groupBy("pid", "number").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("x"))
     points = cut(ordered.select("pid", "number", F.col("x.entry").alias("entries")))
     placed = _nodes(points, local)
-    finished = placed.select("node", "pid", "number", "entries").groupBy("node").applyInPandas(_finish(similarity, tolerance), "pid long, leaf long, away double, apart double")
+    finished = placed.select("node", "pid", "number", "entries").groupBy("node").applyInPandas(_finish(similarity, tolerance), "pid long, leaf long, apart double")
     leaved = cut(points.join(finished, "pid"))
     roots = cut(components(_linked_leaves(leaved, similarity, tolerance)))
-    named = salted_join(leaved.select("pid", "leaf", "away"), roots, ["leaf"], "pid", "left").withColumn("root", F.coalesce("root", "leaf"))
+    named = salted_join(leaved.select("pid", "leaf"), roots, ["leaf"], "pid", "left").withColumn("root", F.coalesce("root", "leaf"))
     # from points back to records: a point's records bear its entries and number
     pid = rows.join(points.select("pid", F.array_sort("entries").alias("entries"), "number"), ["entries", "number"]).select("record_id", "pid")
-    members = cut(pid.join(named, "pid").select("record_id", "root", "leaf", "away"))
+    members = cut(pid.join(named, "pid").select("record_id", "pid", "root", "leaf"))
     first = members.groupBy("root").agg(F.min("record_id").alias("first_id"))
-    return salted_join(members, first, ["root"], "record_id").select("record_id", "first_id", "leaf", "away")
+    named = salted_join(members, first, ["root"], "record_id")
+    return named.join(_from_centre(points, members), "pid").select("record_id", "first_id", "leaf", "away") if away else named.select("record_id", "first_id", "leaf")
 
 
 def described(clustered: DataFrame, typical: int = 3) -> DataFrame:
-    """``first_id, size, leaves, typical``: each cluster with the records nearest the centres of its leaves."""
+    """``first_id, size, leaves, typical``: each cluster with the records nearest its centre, ties by least id."""
     # the nearest few of each of 64 parts of a cluster first, so that no task sees a whole large cluster
     salted = clustered.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(64)))
     nearest = ("away", "record_id")

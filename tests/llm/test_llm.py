@@ -1,4 +1,5 @@
 import base64
+import math
 import quopri
 import random
 import re
@@ -102,6 +103,29 @@ def test_clusters(spark, seed, local):
     assert clusters.described(found).agg(F.sum("size")).first()[0] == len(truth(rows))
 
 
+@pytest.mark.parametrize("local", [8000, 20])
+def test_typical_records_are_nearest_the_centre(spark, local):
+    draw, rows = random.Random(4), []
+    for t in range(3):
+        base, x = [f"t{t}w{j}" for j in range(9)], 1.0 + t
+        for _ in range(40):  # chains of drifting numbers: several leaves, some of one point
+            rows.append((len(rows), [w for w in base if draw.random() > 0.1] + [f"own{len(rows)}"] * (draw.random() < 0.2), x))
+            x *= draw.uniform(0.99, 1.07)
+    df = spark.createDataFrame(rows, "record_id long, entries array<string>, number double")
+    found = clusters.described(clusters.similarity_clusters(df, local=local)).collect()
+    members = {}
+    for i, first in truth(rows).items():
+        members.setdefault(first, []).append(i)
+    assert any(r["leaves"] > 2 for r in found)
+    for r in found:
+        of = members[r["first_id"]]
+        vectors = [{e: 1 / math.sqrt(len(rows[i][1])) for e in rows[i][1]} | {"": clusters.NUMBER_WEIGHT * math.log1p(1000 * rows[i][2])} for i in of]
+        names = {e for v in vectors for e in v}
+        centre = {e: sum(v.get(e, 0) for v in vectors) / len(of) for e in names}
+        away = [round(math.sqrt(sum((v.get(e, 0) - centre[e]) ** 2 for e in names)), 6) for v in vectors]
+        assert r["typical"] == [i for _, i in sorted(zip(away, of))[:3]]
+
+
 def test_one_cluster_of_very_many(spark):
     rows = [(i, [f"e{j}" for j in range(10)] + [f"own{i}"], 2.0) for i in range(400)]
     df = spark.createDataFrame(rows, "record_id long, entries array<string>, number double")
