@@ -6,6 +6,13 @@ a file; a change is a difference between two files that follow each other in a s
 The consistent table projects typed columns from the maps and reports every value whose
 cast fails.
 
+Casts change no value silently. An integer is read from its text, exactly; a decimal in an
+integer field is an integer only if nothing follows the point. A unit after a number, or in
+the header, must be in the schema's table and is converted; any other text fails. A comma
+may group thousands or mark decimals: the values of the same field in the same file decide
+("0,943" and "27,95" are decimals, "1,234.5" is grouped), and without such evidence a value
+like "27,950" fails. Failed values are null in the table and are reported.
+
 Defined results: a repeated line counts once; a null line is an empty line; a file
 without line 0 has no fields; values beyond the header's length have no field, missing
 ones are empty; of two headers for one field the exact name wins, then the first, and
@@ -15,14 +22,16 @@ the other becomes a field under its own name.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphlume.operators.ordered import salted_join, with_previous
+from graphlume.operators.ordered import with_previous
+from graphlume.session import cut
 
 #: The fields of a run-results table with their types.
 RUN_FIELDS = {
@@ -34,8 +43,29 @@ RUN_FIELDS = {
 UNITS = {"s", "sec", "secs", "second", "seconds", "ms", "msec", "min", "mins", "minutes", "h", "us", "ns", "pct", "percent", "mb", "kb", "gb", "cnt", "count", "no", "nr", "num", "number"}
 SMALL = {"is", "on", "of", "the", "in", "at", "to", "by", "per", "for", "a", "an", "was", "has", "and", "or", "with", "val", "value", "flag"}
 
+#: What one of a unit is in the unit of the field.
+TIMES = {"s": 1.0, "sec": 1.0, "secs": 1.0, "second": 1.0, "seconds": 1.0, "ms": 1e-3, "msec": 1e-3, "us": 1e-6, "ns": 1e-9, "min": 60.0, "mins": 60.0, "minutes": 60.0, "h": 3600.0}
+RUN_UNITS = {f: TIMES for f in RUN_FIELDS if f.startswith("time_")} | {"N": {"nodes": 1.0, "node": 1.0}, "nodes#": {"nodes": 1.0, "node": 1.0}, "E": {"edges": 1.0, "edge": 1.0}, "ratio_prop_dropped": {"%": 1.0, "pct": 1.0, "percent": 1.0}}
+
 DELIMITERS = (",", ";", "\t", "|")
-SALTS = 16
+#: Lines of a file that one task parses at least.
+CHUNK = 100_000
+
+
+@dataclass(frozen=True)
+class Schema:
+    """The fields of the consistent table with their types, the units their values may bear, and the words their headers may bear besides."""
+
+    fields: Mapping[str, str] = field(default_factory=lambda: RUN_FIELDS)
+    units: Mapping[str, Mapping[str, float]] = field(default_factory=lambda: RUN_UNITS)
+    spare: frozenset[str] = frozenset(UNITS | SMALL)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(self.fields)
+
+
+RUNS = Schema()
 
 
 def words(name: str) -> list[str]:
@@ -52,7 +82,7 @@ def _shortened(short: str, word: str, alone: bool) -> bool:
     return skeleton and short[0] == word[0] and all(c in rest for c in short)
 
 
-def _bears(header: list[str], field: list[str]) -> tuple[int, int] | None:
+def _bears(header: list[str], field: list[str], spare: frozenset[str]) -> tuple[int, int] | None:
     """(words of the field, words it bears in whole), or None if one is missing or a foreign word is there."""
     free, whole = list(header), 0
     for word in field:
@@ -67,11 +97,11 @@ def _bears(header: list[str], field: list[str]) -> tuple[int, int] | None:
             if at is None:
                 return None
             del free[at]
-    return (len(field), whole) if all(w in UNITS or w in SMALL for w in free) else None
+    return (len(field), whole) if all(w in spare for w in free) else None
 
 
 @lru_cache(maxsize=100_000)
-def field_of(header: str, fields: tuple[str, ...]) -> str:
+def field_of(header: str, fields: tuple[str, ...], spare: frozenset[str] = RUNS.spare) -> str:
     """The field a header stands for; the header itself if there is none or no single best one."""
     if header in fields:
         return header
@@ -79,14 +109,14 @@ def field_of(header: str, fields: tuple[str, ...]) -> str:
     squashed = "".join(own)
     for field in fields:
         parts = words(field)
-        score = (len(parts), len(parts)) if squashed and squashed == "".join(parts) else _bears(own, parts)
+        score = (len(parts), len(parts)) if squashed and squashed == "".join(parts) else _bears(own, parts, spare)
         if score:
             best.append((score, field))
     best.sort(key=lambda x: x[0], reverse=True)
     return best[0][1] if best and (len(best) == 1 or best[0][0] > best[1][0]) else header
 
 
-def fields_of(headers: list[str], fields: tuple[str, ...]) -> list[str | None]:
+def fields_of(headers: list[str], fields: tuple[str, ...], spare: frozenset[str] = RUNS.spare) -> list[str | None]:
     """The fields of one file's headers, each at most once; None for a row-number column."""
     found: list[str | None] = [None] * len(headers)
     taken = set()
@@ -94,7 +124,7 @@ def fields_of(headers: list[str], fields: tuple[str, ...]) -> list[str | None]:
         for i, header in enumerate(headers):
             if not header or header == "Unnamed: 0" or found[i] is not None or exact != (header in fields):
                 continue
-            field = header if exact else field_of(header, fields)
+            field = header if exact else field_of(header, fields, spare)
             if field in taken:
                 field = header
             while field in taken:
@@ -104,6 +134,12 @@ def fields_of(headers: list[str], fields: tuple[str, ...]) -> list[str | None]:
     return found
 
 
+def scale_of(header: str, name: str, units: Mapping[str, float]) -> float:
+    """What one in a column is in the field's unit, if the header bears a unit beside the field's words; else 1."""
+    own = words(name)
+    return next((units[w] for w in words(header) if w in units and w not in own), 1.0)
+
+
 def _outside_quotes(text: Column) -> Column:
     return F.regexp_replace(text, r'"[^"]*+"', "")
 
@@ -154,35 +190,41 @@ def raw_type(value: Column) -> Column:
 KINDS = ("boolean", "integer", "decimal", "text")
 
 
-def read_files(lines: DataFrame) -> DataFrame:
-    """One row per file: ``file_no, series_no, written_at, delimiter, headers, fields``."""
+def read_files(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
+    """One row per file: ``file_no, series_no, written_at, chunks, delimiter, headers, fields, scales``. Repeated lines do no harm."""
     text = F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), r"[\r\n]+$", "")
-    files = lines.groupBy("file_no").agg(F.min("series_no").alias("series_no"), F.min("written_at").alias("written_at"), F.max(F.when(F.col("line_no") == 0, text)).alias("header"))
+    files = lines.groupBy("file_no").agg(F.min("series_no").alias("series_no"), F.min("written_at").alias("written_at"), F.collect_set(_chunk()).alias("chunks"), F.max(F.when(F.col("line_no") == 0, text)).alias("header"))
     files = files.withColumn("delimiter", delimiter_of(F.coalesce("header", F.lit(""))))
     files = files.withColumn("headers", F.when(F.col("header").isNull(), F.array().cast("array<string>")).otherwise(cells(F.col("header"), F.col("delimiter"))))
-    known = tuple(RUN_FIELDS)
+    known, units, spare = schema.names, {f: dict(u) for f, u in schema.units.items()}, schema.spare
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stand_for(headers: pd.Series) -> pd.Series:
-        return headers.map(lambda h: fields_of(list(h), known))
+    @F.pandas_udf("fields array<string>, scales array<double>")
+    def stand_for(headers: pd.Series) -> pd.DataFrame:
+        fields = headers.map(lambda h: fields_of(list(h), known, spare))
+        scales = [[scale_of(h, f, units.get(f, {})) if f else 1.0 for h, f in zip(hs, fs)] for hs, fs in zip(headers, fields)]
+        return pd.DataFrame({"fields": fields, "scales": scales})
 
-    return files.withColumn("fields", stand_for("headers")).drop("header")
+    return files.withColumn("x", stand_for("headers")).select("*", "x.fields", "x.scales").drop("header", "x")
 
 
-def read_rows(lines: DataFrame, files: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Data lines as maps: ``file_no, line_no, values map<field, raw text>``.
+def _chunk() -> Column:
+    return F.floor(F.col("line_no") / CHUNK)
 
-    Files are repeated ``salts`` times so that the lines of a very large file spread over as many tasks.
+
+def read_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Data lines as maps, each once: ``file_no, line_no, values map<field, raw text>, scales map<field, double>`` (scales other than 1).
+
+    Lines meet their file's header by (file, chunk of lines), so that a very large file spreads over as many tasks
+    as it has chunks, and lines move once for counting and parsing.
     """
-    body = lines.where("line_no > 0").select("file_no", "line_no", F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), r"[\r\n]+$", "").alias("line"))
-    joined = salted_join(body, files.select("file_no", "delimiter", "fields"), ["file_no"], "line_no", salts=salts).withColumn("cells", cells(F.col("line"), F.col("delimiter")))
+    body = lines.where("line_no > 0").select("file_no", _chunk().alias("chunk"), "line_no", F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), r"[\r\n]+$", "").alias("line"))
+    body = body.repartition("file_no", "chunk").dropDuplicates(["file_no", "chunk", "line_no"])
+    head = files.select("file_no", F.explode("chunks").alias("chunk"), "delimiter", "fields", "scales")
+    joined = body.join(head, ["file_no", "chunk"]).withColumn("cells", cells(F.col("line"), F.col("delimiter")))
     pairs = F.filter(F.arrays_zip(F.col("fields").alias("f"), F.slice("cells", F.lit(1), F.greatest(F.size("fields"), F.lit(1))).alias("v")), lambda p: p["f"].isNotNull())
     entries = F.transform(pairs, lambda p: F.struct(p["f"].alias("key"), F.coalesce(p["v"], F.lit("")).alias("value")))
-    return joined.select("file_no", "line_no", F.map_from_entries(entries).alias("values"))
-
-
-def once(lines: DataFrame) -> DataFrame:
-    return lines.select("file_no", "series_no", "written_at", "line_no", "line").dropDuplicates(["file_no", "line_no"])
+    scaled = F.filter(F.arrays_zip(F.col("fields").alias("key"), F.col("scales").alias("value")), lambda p: p["key"].isNotNull() & (p["value"] != 1))
+    return joined.select("file_no", "line_no", F.map_from_entries(entries).alias("values"), F.map_from_entries(scaled).alias("scales"))
 
 
 def path_types(rows: DataFrame) -> DataFrame:
@@ -190,16 +232,16 @@ def path_types(rows: DataFrame) -> DataFrame:
     return rows.select("file_no", F.explode("values").alias("field", "value")).groupBy("file_no", "field", raw_type(F.col("value")).alias("type")).agg(F.count("*").alias("n"))
 
 
-def changes(lines: DataFrame) -> DataFrame:
+def changes(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
     """``file_no, field, change``: each file against the one written just before it in its series."""
-    lines = once(lines)
-    files = read_files(lines)
+    lines = lines.select("file_no", "series_no", "written_at", "line_no", "line")
+    files = read_files(lines, schema)
     ordered = with_previous(files, ["series_no"], ["written_at", "file_no"], "file_no", "previous")
     kinds = path_types(read_rows(lines, ordered)).where("type > 0").groupBy("file_no", "field").agg(F.min("type").alias("least"), F.max("type").alias("most"))
     # the first kind that fits all values: booleans mix with nothing, integers are decimals too
     kind = F.when((F.col("least") == 1) & (F.col("most") > 1), 4).otherwise(F.col("most"))
     named = ordered.select("file_no", F.explode(F.arrays_zip(F.col("fields").alias("f"), F.col("headers").alias("h"))).alias("x")).select("file_no", F.col("x.f").alias("field"), F.col("x.h").alias("header")).where("field is not null")
-    state = named.join(kinds.select("file_no", "field", kind.alias("kind")), ["file_no", "field"], "left")
+    state = cut(named.join(kinds.select("file_no", "field", kind.alias("kind")), ["file_no", "field"], "left"))  # read as the file itself and as the one before
     after = ordered.where("previous is not null").select(F.col("previous").alias("file_no"), F.col("file_no").alias("next"))
     followed = ordered.where("previous is not null").select("file_no")
     now = state.join(followed, "file_no", "left_semi").select("file_no", "field", F.lit(1).alias("now"), "header", "kind")
@@ -217,13 +259,39 @@ def changes(lines: DataFrame) -> DataFrame:
     return both.select("file_no", "field", F.explode(F.array_compact(found)).alias("change"))
 
 
-def _number(raw: Column) -> Column:
-    """The number in a text that may bear a unit, grouped thousands or a decimal comma."""
-    bare = F.regexp_replace(raw, r"\s*[A-Za-z%]+$", "")
-    grouped = F.when(bare.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(bare, F.lit(","), F.lit("")))
-    comma = F.when(bare.rlike(r"^[+-]?[0-9]+,[0-9]+$"), F.replace(bare, F.lit(","), F.lit(".")))
-    plain = F.when(raw.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), raw)
-    return F.coalesce(plain, grouped, comma, bare).try_cast("double")
+_PLAIN = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_GROUPED = r"[+-]?[1-9][0-9]{0,2}(?:,[0-9]{3})+"
+
+
+def _bare(raw: Column) -> Column:
+    """A value without the letters of a unit at its end; an exponent is no unit."""
+    return F.regexp_replace(raw, r"\s*[A-Za-zµ%]+$", "")
+
+
+def comma_of(raw: Column) -> Column:
+    """What a value says of the comma: 'decimal', 'grouping', or null if it has none or could be either."""
+    bare = _bare(raw)
+    sure = bare.rlike(rf"^[+-]?[1-9][0-9]{{0,2}}(?:(?:,[0-9]{{3}}){{2,}}(?:\.[0-9]+)?|(?:,[0-9]{{3}})+\.[0-9]+)$")
+    either = bare.rlike(rf"^{_GROUPED}$")
+    return F.when(sure, "grouping").when(bare.rlike(r"^[+-]?[0-9]+,[0-9]+$") & ~either, "decimal")
+
+
+def _written(raw: Column, comma: Column) -> Column:
+    """The number in a text in plain notation; null if it is none."""
+    bare = _bare(raw)
+    own = F.coalesce(comma_of(raw), comma)
+    grouped = F.when((own == "grouping") & bare.rlike(rf"^{_GROUPED}(?:\.[0-9]+)?$"), F.replace(bare, F.lit(","), F.lit("")))
+    decimal = F.when((own == "decimal") & bare.rlike(r"^[+-]?[0-9]+,[0-9]+$"), F.replace(bare, F.lit(","), F.lit(".")))
+    return F.when(raw.rlike(f"^{_PLAIN}$"), raw).otherwise(F.coalesce(F.when(bare.rlike(f"^{_PLAIN}$"), bare), grouped, decimal))
+
+
+def _factor(raw: Column, units: Mapping[str, float], scale: Column) -> Column:
+    """What one of a value's unit is: its own unit, else the header's; null if the unit is not in the table."""
+    unit = F.when(raw.rlike(f"^{_PLAIN}$"), "").otherwise(F.regexp_extract(raw, r"([A-Za-zµ%]*)$", 1))
+    own = F.lit(None).cast("double")
+    for name, factor in units.items():
+        own = F.when(unit == name, F.lit(factor)).otherwise(own)
+    return F.when(unit == "", F.coalesce(scale, F.lit(1.0))).otherwise(own)
 
 
 def _boolean(raw: Column) -> Column:
@@ -231,29 +299,50 @@ def _boolean(raw: Column) -> Column:
     return F.when(low.isin("true", "t", "1", "1.0", "on", "yes", "y"), True).when(low.isin("false", "f", "0", "0.0", "off", "no", "n"), False)
 
 
-def typed(raw: Column, kind: str) -> Column:
+def typed(raw: Column, kind: str, units: Mapping[str, float], comma: Column, scale: Column) -> Column:
+    """The value of a text, null if it has none of this type."""
     if kind == "string":
         return raw
-    return _boolean(raw) if kind == "boolean" else _number(raw).try_cast(kind)
-
-
-def _value(field: str) -> Column:
-    return F.nullif(F.try_element_at("values", F.lit(field)), F.lit(""))
-
-
-def consistent_table(lines: DataFrame) -> DataFrame:
-    """All data lines in one table: ``file_no, line_no``, the fields of a run with their types, and
+    if kind == "boolean":
+        return _boolean(raw)
+    number, factor = _written(raw, comma), _factor(raw, units, scale)
+    if kind == "double":
+        return F.when(factor == 1, number.try_cast("double")).otherwise(number.try_cast("double") * factor)
+    exact = number.try_cast("decimal(38,9)")  # an integer from its text: no double in between
+    whole = F.when(number.rlike(r"^[+-]?[0-9]+$"), number.try_cast("long")).when(exact == F.floor(exact), exact.try_cast("long"))
+    scaled = F.when(factor == 1, whole).otherwise(F.when(whole * factor == F.floor(whole * factor), (whole * factor).try_cast("long")))
+    return scaled.try_cast(kind)
+
+
+def _raw(name: str) -> Column:
+    return F.nullif(F.try_element_at("values", F.lit(name)), F.lit(""))
+
+
+def _typed_rows(lines: DataFrame, schema: Schema) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows as maps with what their file says of commas (``commas map<field, notation>``), and the typed columns over them."""
+    lines = lines.select("file_no", "series_no", "written_at", "line_no", "line")
+    rows = cut(read_rows(lines, read_files(lines, schema)))
+    numeric = [f for f, kind in schema.fields.items() if kind not in ("string", "boolean")]
+    told = rows.select("file_no", F.explode(F.map_filter("values", lambda k, v: k.isin(numeric) & v.contains(","))).alias("field", "value"))
+    told = told.groupBy("file_no", "field").agg(F.array_sort(F.collect_set(comma_of(F.col("value")))).alias("said")).where("size(said) = 1")
+    commas = told.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("said")[0]))).alias("commas"))  # one entry per field of the schema
+    # files with a comma in a number only; a large file's rows keep their partitioning where the side is small enough to broadcast
+    rows = rows.join(commas, "file_no", "left")
+    columns = {f: typed(_raw(f), kind, schema.units.get(f, {}), F.try_element_at("commas", F.lit(f)), F.try_element_at("scales", F.lit(f))) for f, kind in schema.fields.items()}
+    return rows, columns
+
+
+def consistent_table(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
+    """All data lines in one table: ``file_no, line_no``, the schema's fields with their types, and
     ``failed``: the fields whose text could not be cast (their column is null), and ``others``: all further fields."""
-    lines = once(lines)
-    rows = read_rows(lines, read_files(lines))
-    columns = [typed(_value(f), kind).alias(f) for f, kind in RUN_FIELDS.items()]
-    failed = F.array_compact(F.array(*(F.when(_value(f).isNotNull() & typed(_value(f), kind).isNull(), F.lit(f)) for f, kind in RUN_FIELDS.items())))
-    return rows.select("file_no", "line_no", *columns, failed.alias("failed"), F.map_filter("values", lambda k, _: ~k.isin(*RUN_FIELDS)).alias("others"))
+    rows, columns = _typed_rows(lines, schema)
+    valued = rows.select("file_no", "line_no", "values", *(c.alias(f) for f, c in columns.items()))
+    failed = F.array_compact(F.array(*(F.when(_raw(f).isNotNull() & F.col(f"`{f}`").isNull(), F.lit(f)) for f in schema.fields)))
+    return valued.select("file_no", "line_no", *(f"`{f}`" for f in schema.fields), failed.alias("failed"), F.map_filter("values", lambda k, _: ~k.isin(*schema.fields)).alias("others"))
 
 
-def failed_casts(lines: DataFrame) -> DataFrame:
+def failed_casts(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
     """``file_no, field, n, example``: values of each file that the consistent table could not cast."""
-    lines = once(lines)
-    rows = read_rows(lines, read_files(lines))
-    bad = [F.when(_value(f).isNotNull() & typed(_value(f), kind).isNull(), F.struct(F.lit(f).alias("field"), _value(f).alias("raw"))) for f, kind in RUN_FIELDS.items() if kind != "string"]
+    rows, columns = _typed_rows(lines, schema)
+    bad = [F.when(_raw(f).isNotNull() & c.isNull(), F.struct(F.lit(f).alias("field"), _raw(f).alias("raw"))) for f, c in columns.items() if schema.fields[f] != "string"]
     return rows.select("file_no", F.explode(F.array_compact(F.array(*bad))).alias("x")).groupBy("file_no", F.col("x.field").alias("field")).agg(F.count("*").alias("n"), F.min("x.raw").alias("example"))

@@ -9,7 +9,6 @@ from graphlume.operators import drift, packed, quality
 from graphlume.session import table
 
 SIDES = ("clustering", "comparison", "unused")
-REPORT_COLUMNS = ["database", "label", "column", "action", "reason", "null_ratio", "distinct_ratio", "dtype_before"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,22 +51,38 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.findings(report, "row_id", "load_id", "stream_no", "load_no", ["null_ratio", "distinct_ratio"], ["dtype_before"], _names(spark, sf_dir))
 
 
+def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The rows of the report, each once as first loaded, and all its columns but the load's own key."""
+    report = table(spark, sf_dir, "validation_report")
+    others = [c for c in report.columns if c not in ("row_id", "load_id", "loaded_at")]
+    once = report.groupBy("row_id", "load_id", *(f"`{c}`" for c in others)).agg(F.min("loaded_at").alias("loaded_at"))
+    return once, [c for c in once.columns if c != "load_id"]
+
+
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of every load."""
-    report = quality.once(table(spark, sf_dir, "validation_report"), "row_id", ["load_id", *(f"`{c}`" for c in REPORT_COLUMNS)])
-    return quality.column_profile(report, "load_id", REPORT_COLUMNS, _names(spark, sf_dir))
+    """Every column of every load, and what changed from the load before."""
+    report, columns = _report(spark, sf_dir)
+    return quality.column_profile(report, "load_id", columns, _names(spark, sf_dir), "stream_no", "load_no")
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile's counts and ranges."""
+    return p4_profile(spark, sf_dir).select("load_id", "field", "n_rows", "n_missing", "n_distinct", "min_number", "max_number", F.round("missing_change", 12).alias("missing_change"))
 
 
 def p4_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expressions induced for each text column, with the rows and values they cover."""
-    report = quality.once(table(spark, sf_dir, "validation_report"), "row_id", [f"`{c}`" for c in REPORT_COLUMNS])
-    texts = quality.long_columns(report, [], [c for c in REPORT_COLUMNS if c not in ("null_ratio", "distinct_ratio")])
+    report, columns = _report(spark, sf_dir)
+    texts = quality.long_columns(report, [], [c for c in columns if dict(report.dtypes)[c] == "string"])
     induced = quality.induce(texts.where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n")), ["field"], _names(spark, sf_dir))
-    return induced.groupBy("field", "expression", "accepted").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+    return induced.groupBy("field", "expression", "conforms").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+
 
+QUERIES = {f.__name__: f for f in (p2_found, p2_dialects, p3_found, p3_table, p3_failed_casts, p4_found, p4_profile, p4_counts, p4_expressions)}
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_dialects, p3_found, p3_table, p3_failed_casts, p4_found, p4_profile, p4_expressions)}
 
+_NUMBERS = ["row_id", "stream_no", "load_no", "null_ratio", "distinct_ratio"]
+_TEXTS = ["load_at", "loaded_at", "database", "label", "column", "action", "reason", "dtype_before"]
 
 ORACLES = {
     "p4_found": """
@@ -88,5 +103,12 @@ union all select load_id, row_id, 'dtype_before', 'pattern' from names where v i
 union all select a.load_id, 0::bigint, a.field, 'missing' from loads a join loads b on a.stream_no = b.stream_no and a.load_no = b.load_no + 1 and a.field = b.field where a.m / a.n - b.m / b.n > 0.25
 union all select a.load_id, 0::bigint, a.field, 'shift' from loads a join loads b on a.stream_no = b.stream_no and a.load_no = b.load_no + 1 and a.field = b.field where abs(a.med - b.med) > 0.15
 union all select load_id, 0::bigint, 'dtype_before', 'shift' from tv where d > 0.3
+""",
+    "p4_counts": f"""
+with rows as (select load_id, stream_no, load_no, {', '.join(f'"{c}"' for c in _NUMBERS + _TEXTS if c not in ("stream_no", "load_no", "loaded_at"))}, min(loaded_at) as loaded_at from validation_report group by all),
+long as ({' union all '.join(f"select load_id, stream_no as s, load_no as n, '{c}' as field, case when not isnan(\"{c}\"::double) then \"{c}\"::double end as x, case when not isnan(\"{c}\"::double) then \"{c}\"::varchar end as v from rows" for c in _NUMBERS)}
+  union all {' union all '.join(f"select load_id, stream_no, load_no, '{c}', null, \"{c}\"::varchar from rows" for c in _TEXTS)}),
+p as (select load_id, s, n, field, count(*) as n_rows, count(*) - count(v) as n_missing, count(distinct v) as n_distinct, min(x) as min_number, max(x) as max_number from long group by all)
+select a.load_id, a.field, a.n_rows, a.n_missing, a.n_distinct, a.min_number, a.max_number, round(a.n_missing / a.n_rows - b.n_missing / b.n_rows, 12) as missing_change from p a left join p b on a.s = b.s and a.n = b.n + 1 and a.field = b.field
 """,
 }

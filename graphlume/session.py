@@ -56,10 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; one of this machine only where it names none."""
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one of this machine; on a cluster that would be each machine's own, so it raises."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphlume-", dir=os.environ.get("TMPDIR")))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -69,11 +73,22 @@ def cut(df: DataFrame) -> DataFrame:
 
     A written table is computed once (an RDD checkpoint computes its last stage twice), survives the
     loss of executors, has exact sizes for the planner and none of the plan it came from. It is
-    deleted when the application ends.
+    deleted by ``drop`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote and that nothing reads any more, so that rounds do not pile up disk."""
+    path = getattr(df, "_cut", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -52,6 +52,36 @@ def test_table_and_failures(spark):
     assert {(r["field"], r["n"], r["example"]) for r in drift.failed_casts(lines).collect()} == {("pushdown", 1, "maybe"), ("time_total", 1, "abc")}
 
 
+def test_no_value_changes_silently(spark):
+    """Column by column: what a text becomes, null where it fails."""
+    cases = [
+        ("run", ["3.7", "12 apples", "5e", "7.0", "1e3", "2147483648", "+5"], [None, None, None, 7, 1000, None, 5]), ("N", ["9007199254740993", "10265 nodes", "3 apples", "9007199254740993.0"], [9007199254740993, 10265, None, 9007199254740993]),
+        ("time_total", ["12 ms", "12 apples", "5e", "1.5e1", "2 min", "3s"], [0.012, None, None, 15.0, 120.0, 3.0]), ("time_total_ms", ["1500", "2 s"], [1.5, 2.0]),
+        ("time_Indicators", ["0,943", "27,950"], [0.943, 27.95]), ("time_Validation", ["1,234,567", "27,950"], [1234567.0, 27950.0]), ("time_Preprocessing", ["27,950", "1"], [None, 1.0]),
+    ]
+    lines = files(spark, *((i + 1, [f"{name};label", *(f"{v};x" for v in values)]) for i, (name, values, _) in enumerate(cases)))
+    got = {(r["file_no"], r["line_no"]): r for r in drift.consistent_table(lines).collect()}
+    bad = {r["file_no"]: r["n"] for r in drift.failed_casts(lines).collect()}
+    for i, (name, _, wanted) in enumerate(cases):
+        field = drift.field_of(name, FIELDS)
+        assert [got[i + 1, j + 1][field] for j in range(len(wanted))] == pytest.approx(wanted), name
+        assert bad.get(i + 1, 0) == wanted.count(None)
+
+
+def test_other_schema(spark):
+    schema = drift.Schema({"weight": "double", "id": "bigint"}, {"weight": {"kg": 1.0, "g": 1e-3}}, frozenset({"kg", "g", "net"}))
+    lines = files(spark, (1, ["id,net weight g,run", "1,250,4"]), (2, ["ID,weight", "2,1.5 kg,5"]))
+    rows = {r["file_no"]: (r["id"], r["weight"], r["others"]) for r in drift.consistent_table(lines, schema).collect()}
+    assert rows == {1: (1, 0.25, {"run": "4"}), 2: (2, 1.5, {})}
+    assert {(r["field"], r["change"]) for r in drift.changes(lines, schema).collect()} == {("id", "renamed"), ("weight", "renamed"), ("weight", "retyped"), ("run", "removed")}
+
+
+def test_a_large_file_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(drift, "CHUNK", 10)
+    lines = files(spark, (1, ["run", *map(str, range(95)), "7"]))
+    assert [r["run"] for r in drift.consistent_table(lines).orderBy("line_no").collect()] == [*range(95), 7]
+
+
 def test_empty_and_no_header(spark):
     assert drift.changes(files(spark, (1, ["run"])).where("false")).count() == 0
     lines = files(spark, (1, ["run", "1"]), (2, ["x", "1"])).where("file_no = 1 or line_no > 0")
