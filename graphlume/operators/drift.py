@@ -268,30 +268,19 @@ def _bare(raw: Column) -> Column:
     return F.regexp_replace(raw, r"\s*[A-Za-zµ%]+$", "")
 
 
-def comma_of(raw: Column) -> Column:
-    """What a value says of the comma: 'decimal', 'grouping', or null if it has none or could be either."""
-    bare = _bare(raw)
+def comma_of(bare: Column) -> Column:
+    """What a value without its unit says of the comma: 'decimal', 'grouping', or null if it has none or could be either."""
     sure = bare.rlike(rf"^[+-]?[1-9][0-9]{{0,2}}(?:(?:,[0-9]{{3}}){{2,}}(?:\.[0-9]+)?|(?:,[0-9]{{3}})+\.[0-9]+)$")
     either = bare.rlike(rf"^{_GROUPED}$")
     return F.when(sure, "grouping").when(bare.rlike(r"^[+-]?[0-9]+,[0-9]+$") & ~either, "decimal")
 
 
-def _written(raw: Column, comma: Column) -> Column:
-    """The number in a text in plain notation; null if it is none."""
-    bare = _bare(raw)
-    own = F.coalesce(comma_of(raw), comma)
+def _written(bare: Column, comma: Column) -> Column:
+    """The number in a text without its unit in plain notation; null if it is none."""
+    own = F.coalesce(comma_of(bare), comma)
     grouped = F.when((own == "grouping") & bare.rlike(rf"^{_GROUPED}(?:\.[0-9]+)?$"), F.replace(bare, F.lit(","), F.lit("")))
     decimal = F.when((own == "decimal") & bare.rlike(r"^[+-]?[0-9]+,[0-9]+$"), F.replace(bare, F.lit(","), F.lit(".")))
-    return F.when(raw.rlike(f"^{_PLAIN}$"), raw).otherwise(F.coalesce(F.when(bare.rlike(f"^{_PLAIN}$"), bare), grouped, decimal))
-
-
-def _factor(raw: Column, units: Mapping[str, float], scale: Column) -> Column:
-    """What one of a value's unit is: its own unit, else the header's; null if the unit is not in the table."""
-    unit = F.when(raw.rlike(f"^{_PLAIN}$"), "").otherwise(F.regexp_extract(raw, r"([A-Za-zµ%]*)$", 1))
-    own = F.lit(None).cast("double")
-    for name, factor in units.items():
-        own = F.when(unit == name, F.lit(factor)).otherwise(own)
-    return F.when(unit == "", F.coalesce(scale, F.lit(1.0))).otherwise(own)
+    return F.when(bare.rlike(f"^{_PLAIN}$"), bare).when(bare.contains(","), F.coalesce(grouped, decimal))
 
 
 def _boolean(raw: Column) -> Column:
@@ -299,50 +288,54 @@ def _boolean(raw: Column) -> Column:
     return F.when(low.isin("true", "t", "1", "1.0", "on", "yes", "y"), True).when(low.isin("false", "f", "0", "0.0", "off", "no", "n"), False)
 
 
-def typed(raw: Column, kind: str, units: Mapping[str, float], comma: Column, scale: Column) -> Column:
-    """The value of a text, null if it has none of this type."""
-    if kind == "string":
-        return raw
-    if kind == "boolean":
-        return _boolean(raw)
-    number, factor = _written(raw, comma), _factor(raw, units, scale)
+def _cast(number: Column, factor: Column, kind: str) -> Column:
+    """A number in plain notation as its type, null if it is none of this type."""
     if kind == "double":
         return F.when(factor == 1, number.try_cast("double")).otherwise(number.try_cast("double") * factor)
     exact = number.try_cast("decimal(38,9)")  # an integer from its text: no double in between
     whole = F.when(number.rlike(r"^[+-]?[0-9]+$"), number.try_cast("long")).when(exact == F.floor(exact), exact.try_cast("long"))
-    scaled = F.when(factor == 1, whole).otherwise(F.when(whole * factor == F.floor(whole * factor), (whole * factor).try_cast("long")))
-    return scaled.try_cast(kind)
+    return F.when(factor == 1, whole).when(whole * factor == F.floor(whole * factor), (whole * factor).try_cast("long")).try_cast(kind)
 
 
 def _raw(name: str) -> Column:
     return F.nullif(F.try_element_at("values", F.lit(name)), F.lit(""))
 
 
-def _typed_rows(lines: DataFrame, schema: Schema) -> tuple[DataFrame, dict[str, Column]]:
-    """Rows as maps with what their file says of commas (``commas map<field, notation>``), and the typed columns over them."""
+def _typed_rows(lines: DataFrame, schema: Schema) -> DataFrame:
+    """``file_no, line_no, values`` and the schema's fields with their types.
+
+    Numbers of all fields go through one expression over an array, so that the plan does not grow with the schema."""
     lines = lines.select("file_no", "series_no", "written_at", "line_no", "line")
     rows = cut(read_rows(lines, read_files(lines, schema)))
     numeric = [f for f, kind in schema.fields.items() if kind not in ("string", "boolean")]
     told = rows.select("file_no", F.explode(F.map_filter("values", lambda k, v: k.isin(numeric) & v.contains(","))).alias("field", "value"))
-    told = told.groupBy("file_no", "field").agg(F.array_sort(F.collect_set(comma_of(F.col("value")))).alias("said")).where("size(said) = 1")
-    commas = told.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("said")[0]))).alias("commas"))  # one entry per field of the schema
-    # files with a comma in a number only; a large file's rows keep their partitioning where the side is small enough to broadcast
+    told = told.groupBy("file_no", "field").agg(F.collect_set(comma_of(_bare(F.col("value")))).alias("said")).where("size(said) = 1")
+    # files with a comma in a number only, one entry per field of the schema; joined as the planner finds its size allows
+    commas = told.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("said")[0]))).alias("commas"))
     rows = rows.join(commas, "file_no", "left")
-    columns = {f: typed(_raw(f), kind, schema.units.get(f, {}), F.try_element_at("commas", F.lit(f)), F.try_element_at("scales", F.lit(f))) for f, kind in schema.fields.items()}
-    return rows, columns
+    factors = F.create_map(*(F.lit(x) for f in numeric for u, v in schema.units.get(f, {}).items() for x in (f"{f} {u}", float(v)))) if any(schema.units.get(f) for f in numeric) else F.create_map().cast("map<string,double>")
+    if numeric:
+        entries = F.array(*(F.struct(F.lit(f).alias("name"), _raw(f).alias("raw"), F.try_element_at("commas", F.lit(f)).alias("comma"), F.coalesce(F.try_element_at("scales", F.lit(f)), F.lit(1.0)).alias("scale")) for f in numeric))
+        bare = lambda x: F.when(x["raw"].rlike(f"^{_PLAIN}$"), x["raw"]).otherwise(_bare(x["raw"]))
+        split = F.transform(entries, lambda x: F.struct(x["name"].alias("name"), x["comma"].alias("comma"), x["scale"].alias("scale"), x["raw"].alias("raw"), bare(x).alias("bare")))
+        rows = rows.withColumn("_n", split)
+        unit = lambda x: F.regexp_replace(F.substring(x["raw"], F.length(x["bare"]) + 1, F.length(x["raw"])), r"\s+", "")
+        factor = lambda x: F.when(F.length(x["bare"]) == F.length(x["raw"]), x["scale"]).otherwise(F.try_element_at(factors, F.concat(x["name"], F.lit(" "), unit(x))))
+        rows = rows.withColumn("_n", F.transform("_n", lambda x: F.struct(_written(x["bare"], x["comma"]).alias("number"), factor(x).alias("factor"))))
+    at = {f: F.col("_n")[i] for i, f in enumerate(numeric)}
+    columns = [(_raw(f) if kind == "string" else _boolean(_raw(f)) if kind == "boolean" else _cast(at[f]["number"], at[f]["factor"], kind)).alias(f) for f, kind in schema.fields.items()]
+    return rows.select("file_no", "line_no", "values", *columns)
 
 
 def consistent_table(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
     """All data lines in one table: ``file_no, line_no``, the schema's fields with their types, and
     ``failed``: the fields whose text could not be cast (their column is null), and ``others``: all further fields."""
-    rows, columns = _typed_rows(lines, schema)
-    valued = rows.select("file_no", "line_no", "values", *(c.alias(f) for f, c in columns.items()))
     failed = F.array_compact(F.array(*(F.when(_raw(f).isNotNull() & F.col(f"`{f}`").isNull(), F.lit(f)) for f in schema.fields)))
-    return valued.select("file_no", "line_no", *(f"`{f}`" for f in schema.fields), failed.alias("failed"), F.map_filter("values", lambda k, _: ~k.isin(*schema.fields)).alias("others"))
+    return _typed_rows(lines, schema).select("file_no", "line_no", *(f"`{f}`" for f in schema.fields), failed.alias("failed"), F.map_filter("values", lambda k, _: ~k.isin(*schema.fields)).alias("others"))
 
 
 def failed_casts(lines: DataFrame, schema: Schema = RUNS) -> DataFrame:
     """``file_no, field, n, example``: values of each file that the consistent table could not cast."""
-    rows, columns = _typed_rows(lines, schema)
-    bad = [F.when(_raw(f).isNotNull() & c.isNull(), F.struct(F.lit(f).alias("field"), _raw(f).alias("raw"))) for f, c in columns.items() if schema.fields[f] != "string"]
-    return rows.select("file_no", F.explode(F.array_compact(F.array(*bad))).alias("x")).groupBy("file_no", F.col("x.field").alias("field")).agg(F.count("*").alias("n"), F.min("x.raw").alias("example"))
+    bad = [F.when(_raw(f).isNotNull() & F.col(f"`{f}`").isNull(), F.struct(F.lit(f).alias("field"), _raw(f).alias("raw"))) for f, kind in schema.fields.items() if kind != "string"]
+    found = _typed_rows(lines, schema).select("file_no", F.explode(F.array_compact(F.array(*bad))).alias("x"))
+    return found.groupBy("file_no", F.col("x.field").alias("field")).agg(F.count("*").alias("n"), F.min("x.raw").alias("example"))

@@ -8,13 +8,16 @@ least ``min_share`` of all occurrences have a code of their own (so the code boo
 never has more than ``1 / min_share`` entries, whatever the size of the table), all
 others are spelled with the character codes of the same table.
 
-Rounds: the first counts values over all possible parses in equal parts, each further
-one over the cheapest parses only.
+The first codes count what lies between any two marks or within quotes, whatever the
+dialect; each round then counts the values of the cheapest parses. Equal texts are parsed
+once, with their number. A parse is left as soon as its bits exceed the best one's.
 
 Defined results: a null, empty or blank text gives no row; an empty entry gives a row
 with an empty value that keeps its position; a delimiter after the last value adds
 nothing; an opening or closing bracket may be missing or of another kind. Columns
-beside the key and the text are ignored.
+beside the key and the text are ignored. With ``integers``, values that are integers
+come out in one notation (``+1``, ``1.0`` and ``1`` are ``1``); without, values are
+left as they are but for surrounding blanks and quoting.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlume.session import cut, drop
+
 DELIMITERS = {
-    "comma": ",", "semicolon": ";", "bar": "|", "slash": "/", "tab": "\t", "blank": None, "dash": None, "mixed": ",;|/\t",
+    "comma": ",", "semicolon": ";", "bar": "|", "slash": "/", "tab": "\t", "colon": ":", "ampersand": "&", "tilde": "~", "caret": "^",
+    "blank": None, "dash": None, "mixed": ",;|/\t",
 }
 QUOTINGS = {"none": "", "double": '"', "either": "\"'"}
 OPEN, CLOSE = "[({<", "])}>"
@@ -39,11 +45,14 @@ OPEN, CLOSE = "[({<", "])}>"
 FLUSH = 100_000
 #: A longer value is always spelled, so that the code book's bytes are bounded too.
 LONGEST_CODED = 200
+#: Results a task keeps for texts it meets again, and the longest such text.
+REMEMBERED, LONGEST_REMEMBERED = 20_000, 2_000
 
 _MINUS = str.maketrans({"−": "-", "–": "-", "﹣": "-", "－": "-"})
 _INTEGER = re.compile(r"[+-]?\d+(?:\.0+)?")
 
 
+@lru_cache(maxsize=65_536)
 def canonical(value: str) -> str:
     """Integers in one notation, everything else without surrounding blanks."""
     value = value.strip()
@@ -76,8 +85,8 @@ class Parse:
 
 def _delimiters(text: str, sections: bool) -> list[str]:
     """The dialects' delimiters that can explain this text."""
-    found = [name for name in ("comma", "semicolon", "bar", "slash", "tab") if DELIMITERS[name] in text]
-    if len(found) > 1:
+    found = [name for name, marks in DELIMITERS.items() if marks and name != "mixed" and marks in text and not (sections and name == "colon")]
+    if sum(DELIMITERS[name] in DELIMITERS["mixed"] for name in found) > 1:
         found.append("mixed")
     if sections:
         if re.search(r"\n\s*-\s", text):
@@ -87,11 +96,16 @@ def _delimiters(text: str, sections: bool) -> list[str]:
     return found or ["comma"]
 
 
+#: A quote where a value can begin; elsewhere it is a sign like any other.
+_BEGINS = {mark: re.compile(rf"(?:^|[^\w\"'\\]){mark}") for mark in "\"'"}
+
+
 def _quotings(text: str) -> list[tuple[str, bool]]:
-    double, single = '"' in text, "'" in text
+    """The quotings that can make a difference for this text."""
+    double, single = ('"' in text and bool(_BEGINS['"'].search(text))), ("'" in text and bool(_BEGINS["'"].search(text)))
     found = [("none", False)]
     found += [("double", False)] * double + [("either", False)] * single
-    if "\\" in text or (double or single) and text[:1] == "{":
+    if "\\" in text or text[:1] == "{" and ('""' in text or "''" in text):
         found += [("double", True)] * double + [("either", True)] * single
     return found
 
@@ -153,20 +167,20 @@ def _unended(text: str) -> str:
     return text[:-1].rstrip() if text[-1:] and text[-1] in DELIMITERS["mixed"] else text
 
 
-def _entries(values: list[str], side: str) -> list[tuple[str, str]]:
-    values = [canonical(v) for v in values]
+def _entries(values: list[str], side: str, integers: bool) -> list[tuple[str, str]]:
+    values = [canonical(v) for v in values] if integers else [v.strip() for v in values]
     if values and not values[-1]:
         values.pop()
     return [(side, v) for v in values]
 
 
-def _flat(text: str) -> Iterator[Parse]:
+def _flat(text: str, integers: bool) -> Iterator[Parse]:
     inner, text = _unwrap(text), _unended(text)
     for wrapped, body in [(False, text)] + [(True, inner)] * (inner != text):
         for delimiter in _delimiters(body, False):
             for quoting, backslash in _quotings(body):
                 values, loose = _split(body, _SEPARATORS[delimiter], QUOTINGS[quoting], backslash)
-                yield Parse(Dialect(delimiter, quoting, backslash, wrapped), _entries(values, ""), loose)
+                yield Parse(Dialect(delimiter, quoting, backslash, wrapped), _entries(values, "", integers), loose)
 
 
 class Sections:
@@ -174,14 +188,17 @@ class Sections:
 
     def __init__(self, names: Iterable[str]):
         word = "|".join(map(re.escape, names))
+        self.mark = re.compile(rf"(?:^|[\s{{\[(;,\]}})])[\"']?(?:{word})[\"']?\s*[:=,]", re.I)
         mark = rf"[\"']?(?:{word})[\"']?\s*[:=,]"
         self.start = re.compile(rf"[\s{{\[(;,\]}})]*[\"']?({word})[\"']?\s*[:=,][ \t]*", re.I)
         self.stop = re.compile(rf"[;,\s]\s*(?={mark})", re.I)
         self.ends = {name: re.compile(f"(?P<stop>{self.stop.pattern})|(?P<next>{p.pattern})", re.I) for name, p in _SEPARATORS.items()}
         self.closes = {name: re.compile(rf"(?P<stop>\]|{self.stop.pattern})|(?P<next>{p.pattern})", re.I) for name, p in _SEPARATORS.items()}
 
-    def parse(self, text: str, d: Dialect) -> Parse | None:
+    def parse(self, text: str, d: Dialect, codes: Codes | None = None, bound: float = math.inf, integers: bool = False) -> Parse | None:
+        """None if no section is found, or as soon as the values' bits exceed ``bound``."""
         out, loose, at, quotes = [], [], 0, QUOTINGS[d.quoting]
+        bits = codes.dialect(d) if codes else 0.0
         while m := self.start.match(text, at):
             side, at = m[1].lower(), m.end()
             bracket = text[at : at + 1] == "["
@@ -204,18 +221,16 @@ class Sections:
                 else:
                     values.append(text[at:stop].rstrip(" \t\r\n}") if not m else text[at:stop])
                 at = m.end() if m else len(text)
+                if codes and values[-1]:
+                    bits += codes.value(canonical(values[-1]) if integers else values[-1].strip()) if values[-1].strip() else 0.0
+                    if bits > bound:
+                        return None
                 if not m or m.lastgroup == "stop" or m["stop"]:
                     break
-            out += _entries(values, side)
+            out += _entries(values, side, integers)
         rest = text[at:].strip(" \t\r\n}])")
         return Parse(d, out, "".join(loose) + rest)
 
-    def parses(self, text: str) -> Iterator[Parse]:
-        for delimiter in _delimiters(text, True):
-            for quoting, backslash in _quotings(text):
-                if parsed := self.parse(text, Dialect(delimiter, quoting, backslash)):
-                    yield parsed
-
 
 #: Bits to choose one of a dialect's delimiters.
 _CHOICE = {name: math.log2(len(marks)) if marks else 0.0 for name, marks in DELIMITERS.items()}
@@ -241,33 +256,60 @@ class Codes:
     def spelled(self, value: str) -> float:
         return self.spell + self.chars["\0"] + sum(map(self.chars.__getitem__, value))
 
+    def value(self, value: str) -> float:
+        code = self.values.get(value)
+        return self.spelled(value) if code is None else code
+
+    def dialect(self, d: Dialect) -> float:
+        return self.dialects.get(d.name, self.new_dialect)
+
     def cost(self, parse: Parse, bound: float = math.inf) -> float:
         """Bits of a parse; infinite as soon as they exceed ``bound``."""
-        values, d = self.values, parse.dialect
-        bits = self.dialects.get(d.name, self.new_dialect) + len(parse.values) * _CHOICE[d.delimiter]
+        bits = self.dialect(parse.dialect) + len(parse.values) * _CHOICE[parse.dialect.delimiter]
         for _, v in parse.values:
-            code = values.get(v)
-            bits += self.spelled(v) if code is None else code
+            bits += self.value(v)
             if bits > bound:
                 return math.inf
         return bits + (self.spelled(parse.loose) if parse.loose else 0)
 
 
-def cheapest(parses: Iterable[Parse], codes: Codes) -> Parse | None:
-    """Ties go to the dialect tried first."""
-    best = None
-    for parse in parses:
-        parse.bits = codes.cost(parse, best.bits if best else math.inf)
-        if best is None or parse.bits < best.bits:
-            best = parse
+def cheapest(text: str, sections: Sections | None, codes: Codes, integers: bool) -> Parse | None:
+    """Ties go to the dialect tried first; dialects with a short code are tried first, so that others are left early."""
+    best, bound = None, math.inf
+    if sections is None:
+        for parse in _flat(text, integers):
+            parse.bits = codes.cost(parse, bound)
+            if best is None or parse.bits < bound:
+                best, bound = parse, parse.bits
+        return best
+    dialects = [Dialect(delimiter, quoting, backslash) for delimiter in _delimiters(text, True) for quoting, backslash in _quotings(text)]
+    for d in sorted(dialects, key=codes.dialect):
+        parse = sections.parse(text, d, codes, bound, integers)
+        if parse:
+            parse.bits = codes.cost(parse, bound)
+            if best is None or parse.bits < bound:
+                best, bound = parse, parse.bits
     return best
 
 
-def _parses(sections: Sections | None, text: str) -> Iterator[Parse]:
-    return sections.parses(text) if sections else _flat(text)
+_TOKEN = re.compile(r"""[ \r\[({<]*(?:"((?:[^"\\]|\\.|"")*)"|'((?:[^'\\]|\\.|'')*)')|([^,;|/\t\n:&~^]+)""")
+
 
+def _tokens(text: str, sections: Sections | None, integers: bool) -> list[str]:
+    """What lies between marks or within quotes, whatever the dialect."""
+    found = []
+    for double, single, bare in _TOKEN.findall(sections.mark.sub("\n", text) if sections else text):
+        token = (double or single or bare).strip()
+        if token and token[0] in OPEN and CLOSE[OPEN.index(token[0])] not in token:
+            token = token[1:].strip()
+        if token and token[-1] in CLOSE and OPEN[CLOSE.index(token[-1])] not in token:
+            token = token[:-1].strip()
+        if token:
+            found += [token] if sections else token.split()
+    return [canonical(t) for t in found] if integers else found
 
-def _counter(sections: Sections | None, codes: Codes | None):
+
+def _counter(sections: Sections | None, codes: Codes | None, integers: bool):
     """Partial counts of values, characters of values and dialects."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,19 +326,20 @@ def _counter(sections: Sections | None, codes: Codes | None):
             return frame
 
         for batch in batches:
-            for text in batch["text"]:
-                parses = list(_parses(sections, text))
-                if codes:
-                    parses = [p for p in [cheapest(parses, codes)] if p]
-                for parse in parses:
-                    weight = 1.0 / len(parses)
-                    found["dialect", parse.dialect.name] += weight
-                    found["all", ""] += weight * len(parse.values)
-                    for _, value in parse.values:
-                        if len(value) <= LONGEST_CODED:
-                            found["value", value] += weight
-                    chars[weight].update("\0".join([v for _, v in parse.values]) + "\0")
-                if len(found) > FLUSH:
+            for text, n in zip(batch["text"], batch["n"].to_numpy(dtype=float)):
+                if codes is None:
+                    values = _tokens(text, sections, integers)
+                elif parse := cheapest(text, sections, codes, integers):
+                    found["dialect", parse.dialect.name] += n
+                    values = [v for _, v in parse.values]
+                else:
+                    continue
+                found["all", ""] += n * len(values)
+                for value in values:
+                    if len(value) <= LONGEST_CODED:
+                        found["value", value] += n
+                chars[n].update("\0".join(values) + "\0")
+                if len(found) > FLUSH or len(chars) > 1000:
                     yield flush()
         if found or chars:
             yield flush()
@@ -304,18 +347,18 @@ def _counter(sections: Sections | None, codes: Codes | None):
     return count
 
 
-def learn_codes(texts: DataFrame, sections: Sections | None, rounds: int = 2, min_share: float = 1e-4) -> Codes:
-    """Code lengths from counts over all texts (column ``text``, no nulls)."""
+def learn_codes(texts: DataFrame, sections: Sections | None, rounds: int = 1, min_share: float = 1e-4, integers: bool = False) -> Codes:
+    """Code lengths from counts over all texts (columns ``text``, no nulls, and ``n``, how often)."""
     codes = None
-    for _ in range(rounds):
-        counts = texts.mapInPandas(_counter(sections, codes), "kind string, value string, weight double")
-        counts = counts.groupBy("kind", "value").agg(F.sum("weight").alias("weight")).persist(StorageLevel.DISK_ONLY)
+    for _ in range(rounds + 1):
+        counts = texts.mapInPandas(_counter(sections, codes, integers), "kind string, value string, weight double")
+        counts = cut(counts.groupBy("kind", "value").agg(F.sum("weight").alias("weight")))
         total = {r["kind"]: r["weight"] for r in counts.groupBy("kind").agg(F.sum("weight").alias("weight")).collect()}
         floor = F.when(F.col("kind") == "value", F.lit(min_share * total.get("all", 0.0))).otherwise(F.lit(min_share / 10) * F.when(F.col("kind") == "char", total.get("char", 0.0)).otherwise(0.0))
         kept: dict[str, dict[str, float]] = defaultdict(dict)
         for r in counts.where(F.col("weight") >= floor).collect():  # at most 1 / min_share values, 10 / min_share characters and the dialects
             kept[r["kind"]][r["value"]] = r["weight"]
-        counts.unpersist()
+        drop(counts)
         # a value's code is its share, and each use of it bears its part of writing the code book's entry, the value
         # spelled once; it is coded only where that is shorter than spelling it every time. The announcement of a
         # spelled value gets the share that coded values leave, so both are settled in turn.
@@ -334,7 +377,7 @@ def learn_codes(texts: DataFrame, sections: Sections | None, rounds: int = 2, mi
     return codes
 
 
-def split_packed(df: DataFrame, key: str, text: str, sections: Iterable[str] = (), rounds: int = 2, min_share: float = 1e-4) -> DataFrame:
+def split_packed(df: DataFrame, key: str, text: str, sections: Iterable[str] = (), rounds: int = 1, min_share: float = 1e-4, integers: bool = False) -> DataFrame:
     """One row per entry: ``row_key, side, pos, val, dialect, bits`` (``side`` is '' without sections).
 
     ``key`` is a LONG and identifies a row; rows with the same key count once.
@@ -342,21 +385,33 @@ def split_packed(df: DataFrame, key: str, text: str, sections: Iterable[str] = (
     """
     rules = Sections(sections) if sections else None
     rows = df.select(F.col(key).cast("long").alias("row_key"), F.trim(F.col(text)).alias("text"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).dropDuplicates(["row_key"])
-    codes = learn_codes(rows.select("text"), rules, rounds, min_share)
+    rows = cut(rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).dropDuplicates(["row_key"]))  # read by each round
+    texts = cut(rows.groupBy("text").agg(F.count("*").alias("n")))
+    codes = learn_codes(texts, rules, rounds, min_share, integers)
+    drop(texts)
+    columns = ["row_key", "side", "pos", "val", "dialect", "bits"]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[tuple]] = {}
         for batch in batches:
             out = []
             for row_key, body in zip(batch["row_key"], batch["text"]):
-                best = cheapest(_parses(rules, body), codes)
-                pos: dict[str, int] = defaultdict(int)
-                for side, value in best.values if best else ():
-                    pos[side] += 1
-                    out.append((row_key, side, pos[side], value, best.dialect.name, best.bits))
+                entries = known.get(body)
+                if entries is None:
+                    best = cheapest(body, rules, codes, integers)
+                    pos: dict[str, int] = defaultdict(int)
+                    entries = []
+                    for side, value in best.values if best else ():
+                        pos[side] += 1
+                        entries.append((side, pos[side], value, best.dialect.name, best.bits))
+                    if len(body) <= LONGEST_REMEMBERED:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[body] = entries
+                out += [(row_key, *e) for e in entries]
                 if len(out) > FLUSH:
-                    yield pd.DataFrame(out, columns=["row_key", "side", "pos", "val", "dialect", "bits"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=["row_key", "side", "pos", "val", "dialect", "bits"])
+            yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(split, "row_key long, side string, pos int, val string, dialect string, bits double")

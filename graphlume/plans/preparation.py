@@ -13,7 +13,7 @@ SIDES = ("clustering", "comparison", "unused")
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per value packed in solver_logs.clusters and run_results.partition."""
-    logs = packed.split_packed(table(spark, sf_dir, "solver_logs"), "log_id", "clusters").where(F.col("val").isin("-1", "0", "1"))
+    logs = packed.split_packed(table(spark, sf_dir, "solver_logs"), "log_id", "clusters", integers=True).where("val != ''")
     runs = packed.split_packed(table(spark, sf_dir, "run_results"), "result_id", "partition", SIDES).where("val != ''")
     columns = ["src", "row_key", "side", "pos", "val"]
     return logs.withColumn("src", F.lit("solver_logs")).select(columns).unionByName(runs.withColumn("src", F.lit("run_results")).select(columns))
@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many fields each dialect explains best, and with how many bits on average."""
-    logs = packed.split_packed(table(spark, sf_dir, "solver_logs"), "log_id", "clusters").withColumn("src", F.lit("solver_logs"))
+    logs = packed.split_packed(table(spark, sf_dir, "solver_logs"), "log_id", "clusters", integers=True).withColumn("src", F.lit("solver_logs"))
     runs = packed.split_packed(table(spark, sf_dir, "run_results"), "result_id", "partition", SIDES).withColumn("src", F.lit("run_results"))
     fields = logs.unionByName(runs).groupBy("src", "row_key").agg(F.first("dialect").alias("dialect"), F.first("bits").alias("bits"), F.count("*").alias("n"))
     return fields.groupBy("src", "dialect").agg(F.count("*").alias("n_fields"), F.sum("n").alias("n_entries"), F.avg("bits").alias("mean_bits"))

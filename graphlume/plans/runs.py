@@ -68,7 +68,7 @@ _SOL = r"""s as (select *, list_transform(regexp_extract_all(clusters, '-?[01]')
 def ari_pairs(spark: SparkSession, d: str) -> DataFrame:
     """In every notation; an entry left empty keeps its position and equals no other entry, so it is a label of its own."""
     runs = _runs(spark, d)
-    entries = packed.split_packed(runs, "log_id", "clusters")
+    entries = packed.split_packed(runs, "log_id", "clusters", integers=True)
     label = F.when(F.col("val") == "", F.concat(F.lit("?"), F.col("pos"))).otherwise(F.col("val"))
     vectors = entries.groupBy(F.col("row_key").alias("log_id")).agg(F.array_sort(F.collect_list(F.struct("pos", label.alias("val"))))["val"].alias("v"))
     solved = runs.select("log_id", "data", "heuristic", "k").join(vectors, "log_id")

@@ -10,11 +10,11 @@ SIDES = ("clustering", "comparison", "unused")
 FILL = [(f"[{a};{b};{c}]") for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
 
-def split(spark, texts, sections=()):
+def split(spark, texts, sections=(), integers=True):
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "row_key long, text string, val string")  # ``val`` clashes with the result's name
     out = {}
-    for r in split_packed(df, "row_key", "text", sections).collect():
+    for r in split_packed(df, "row_key", "text", sections, integers=integers and not sections).collect():
         out.setdefault(r["row_key"], []).append((r["side"], r["pos"], r["val"]))
     return [sorted(out.get(i, [])) for i in range(len(texts))]
 
@@ -33,6 +33,12 @@ def test_notations(spark):
         assert [p for _, p, _ in got] == list(range(1, len(wanted) + 1))
 
 
+def test_other_delimiters_and_names_left_alone(spark):
+    assert split(spark, ["1:0:-1", "1&0&-1", "1~0~-1", *FILL])[:3] == [[("", 1, "1"), ("", 2, "0"), ("", 3, "-1")]] * 3
+    texts = ["a|007|+1|1.0", "007|b|1.0"] * 20
+    assert [v for _, _, v in split(spark, texts, integers=False)[0]] == ["a", "007", "+1", "1.0"]
+
+
 def test_nothing_in_nothing_out(spark):
     assert split(spark, [None, "", "  \n", "[1;0]"])[:3] == [[], [], []]
     empty = spark.createDataFrame([], "row_key long, text string")
