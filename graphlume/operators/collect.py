@@ -101,10 +101,20 @@ def aggregate_many(graph: PropertyGraph, label: str, types: list[str] | None, ru
     """
     from graphlume.operators.structure import loose_many_types
 
+    out = graph.nodes[label].select("id")
+    for found in _many(graph, label, types, rules, neighbours, relations, keep):
+        out = out.join(found, "id", "left")
+    return out
+
+
+def _many(graph: PropertyGraph, label: str, types: list[str] | None, rules: dict[str, str] | None, neighbours: bool, relations: bool, keep: list[str] | None) -> list[DataFrame]:
+    """The aggregates of each type, for the nodes that have edges of it."""
+    from graphlume.operators.structure import loose_many_types
+
     rules = read_rules(rules)
     if not types:
         types = [r["type"] for r in loose_many_types(graph, label).orderBy("type").collect()]
-    out = graph.nodes[label].select("id")
+    out = []
     for name in types:
         parts, aggregates = [], {}
         for e, own, other, label2 in graph.incident(label, [name]):
@@ -121,8 +131,7 @@ def aggregate_many(graph: PropertyGraph, label: str, types: list[str] | None, ru
                     aggregates[f"{name}__{kind}__{f}_{p}"] = (f, f"{kind[0]}_{p}")
         if parts and aggregates:
             every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-            found = every.groupBy("id").agg(*(AGGREGATES[f](F.col(f"`{c}`")).alias(n) for n, (f, c) in aggregates.items()))
-            out = out.join(found, "id", "left")
+            out.append(every.groupBy("id").agg(*(AGGREGATES[f](F.col(f"`{c}`")).alias(n) for n, (f, c) in aggregates.items())))
     return out
 
 
@@ -130,14 +139,20 @@ def in_degrees(graph: PropertyGraph, label: str) -> DataFrame:
     """``id`` and the number of incoming edges per type, types in alphabetical order, 0 where there are none.
 
     Types come from the catalog, so the pivot needs no pass to find them."""
-    into = [e for e in graph.edges if e.end == label]
+    found, names = _degrees(graph, label)
     out = graph.nodes[label].select("id")
-    if not into:
+    if found is None:
         return out
+    return out.join(found, "id", "left").na.fill(0, names).select("id", *(f"`{n}`" for n in names))
+
+
+def _degrees(graph: PropertyGraph, label: str) -> tuple[DataFrame | None, list[str]]:
+    into = [e for e in graph.edges if e.end == label]
+    if not into:
+        return None, []
     rows = reduce(DataFrame.unionByName, [e.table.select(F.lit(e.type).alias("type"), F.col("dst").alias("id")) for e in into])
     names = sorted({e.type for e in into})
-    counts = rows.groupBy("id").pivot("type", names).count()
-    return out.join(counts, "id", "left").na.fill(0, names).select("id", *(F.col(f"`{n}`").cast("long").alias(n) for n in names))
+    return rows.groupBy("id").pivot("type", names).count().select("id", *(F.col(f"`{n}`").cast("long").alias(n) for n in names)), names
 
 
 def outer_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, out_id: str = "id") -> DataFrame:
@@ -152,9 +167,14 @@ def outer_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, o
 
 
 def indicators(graph: PropertyGraph, label: str, many_to_one: list[str], many_to_many: list[str] | None, rules: dict[str, str] | None = None, depth: int = 5, keep: list[str] | None = None, relations: bool = True) -> DataFrame:
-    """The indicator table of a label: closure, many-to-many aggregates and in-degrees, ``outid`` first.
-
-    All three start from the label's nodes, so that they can be joined on ``id`` in one exchange."""
-    own = closure(graph, label, many_to_one, depth, keep)
-    many = aggregate_many(graph, label, many_to_many, rules, relations=relations, keep=keep)
-    return outer_join(outer_join(own, many, "id", "id"), in_degrees(graph, label), "id", "id", "outid")
+    """The indicator table of a label: closure over nodes and edges, many-to-many aggregates and in-degrees, ``outid`` first.
+
+    All start from the label's nodes and are joined to them on ``id``, so that one partitioning serves all.
+    In a clash of names the first of these has the column, and the later one fills its nulls."""
+    out = closure(graph, label, many_to_one, depth, keep, relations=relations)
+    degrees, names = _degrees(graph, label)
+    for found in [*_many(graph, label, many_to_many, rules, True, relations, keep), *([degrees] if degrees is not None else [])]:
+        clash = [c for c in found.columns if c != "id" and c in out.columns]
+        met = out.join(found.withColumnsRenamed({c: f"_2_{c}" for c in clash}), "id", "left")
+        out = met.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(f"`_2_{c}`")) for c in clash}).drop(*(f"_2_{c}" for c in clash))
+    return out.na.fill(0, names).withColumnRenamed("id", "outid")

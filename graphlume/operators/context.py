@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import Edges, PropertyGraph
+from graphlume.session import cut
 
 COLUMNS = ["type", "source", "label", "property", "value"]
 
@@ -23,12 +24,13 @@ def _edge_key(e: Edges) -> Column:
     return F.to_json(F.struct(F.lit(e.type), "src", "dst", *(f"`{c}`" for c in e.table.columns if c not in ("src", "dst"))))
 
 
-def node_context(graph: PropertyGraph, label: str, node_id: int, allowed: list[str], depth: int = 50) -> DataFrame:
+def node_context(graph: PropertyGraph, label: str, node_id: int, allowed: list[str], depth: int | None = None) -> DataFrame:
     """``type, source, label, property, value`` (as text) of a node's context; nothing for an unknown node.
 
     The node itself has an empty source; direct neighbours and incident edges, in any direction, the type;
     then outgoing steps over the allowed types, each node once, give ``[r0, L1, r1, …]``. Of several
-    sources for one property of one element the shortest stays, then the first by text.
+    sources for one property of one element the shortest stays, then the first by text. Steps end where
+    nothing new is reached, or after ``depth`` of them if that is given.
     """
     names = lambda df: [c for c in df.columns if c not in ("id", "src", "dst")]
     start = graph.nodes[label].where(F.col("id") == node_id)
@@ -47,7 +49,9 @@ def node_context(graph: PropertyGraph, label: str, node_id: int, allowed: list[s
             parts.append(_text(met, "node", F.concat(F.lit(f"{label2}:"), F.col("id").cast("string")), source, label2, names(target)))
     visited = {label: graph.spark.createDataFrame([(node_id,)], "id long")}
     frontier = {label: visited[label].withColumn("source", none)}
-    for _ in range(depth):
+    step_no = 0
+    while depth is None or step_no < depth:
+        step_no += 1
         reached: dict[str, list[DataFrame]] = {}
         for at, rows in frontier.items():
             for e in graph.edges:
@@ -64,7 +68,7 @@ def node_context(graph: PropertyGraph, label: str, node_id: int, allowed: list[s
             new = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min_by("source", F.struct(F.size("source"), F.array_join("source", "/"))).alias("source"))
             if at in visited:
                 new = new.join(visited[at], "id", "left_anti")
-            frontier[at] = new
+            frontier[at] = new = cut(new)  # read by the next steps, by what was visited and by the properties
             visited[at] = visited[at].unionByName(new.select("id")) if at in visited else new.select("id")
             target = graph.nodes[at]
             if names(target):

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
 from graphlume.operators.metrics import unpivoted
-from graphlume.operators.ordered import block_pairs, running_sum
+from graphlume.operators.ordered import running_sum
+from graphlume.session import cut
 
 Centres = list[list[float]]
 #: Fuzzifier, tolerance, iterations.
@@ -62,7 +63,7 @@ def kmeans(df: DataFrame, key: str, columns: list[str], k: int, tolerance: float
     centres = centres or start_rows(df, key, columns, k, seed)
     if len(centres) < k:
         raise ValueError("fewer rows than clusters")
-    df = df.persist()
+    df = cut(df)
     labels = assign(df, columns, centres)
     for step in range(iterations):
         found = {r["label"]: [r[c] for c in columns] for r in means(labels, columns).collect()}
@@ -114,7 +115,7 @@ def dual_fcm(df: DataFrame, key: str, columns: list[str], compared: list[str], k
     base = [key, *dict.fromkeys([*columns, *compared])]
     # memberships from a hash of the key: the same after the loss of an executor
     raw = lambda j, side: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(side * k + j)), F.lit(1_000_003)) + 1) / 1_000_004.0
-    state = df.select(*(f"`{c}`" for c in base)).persist()
+    state = cut(df.select(*(f"`{c}`" for c in base)))
     total = [sum((raw(j, s) for j in range(k)), F.lit(0.0)) for s in (0, 1)]
     current = state.select("*", *((raw(j, 0) / total[0]).alias(u[j]) for j in range(k)), *((raw(j, 1) / total[1]).alias(v[j]) for j in range(k)))
     old: tuple[Centres, Centres] | None = None
@@ -155,7 +156,7 @@ def fuzzy_medoids(df: DataFrame, key: str, columns: list[str], compared: list[st
     """``key, label``: fuzzy c-medoids. New medoids come from the 10 + k rows with the least membership (``candidates='ascending'``,
     the published behaviour) or the greatest; a row serves once. Fewer rows than that: all are candidates."""
     names = [*dict.fromkeys([*columns, *compared])]
-    state = df.select(F.col(key), *(as_number(c).alias(c) for c in names)).persist()
+    state = cut(df.select(F.col(key), *(as_number(c).alias(c) for c in names)))
     e, p, q = 1.0 / (m - 1), max(1, len(columns)), max(1, len(compared))
 
     def rows(frame: DataFrame) -> list[tuple]:
@@ -245,26 +246,49 @@ def objective(labelled: DataFrame, columns: list[str], compared: list[str], n_fe
 
 
 def silhouette(labelled: DataFrame, key: str, columns: list[str], block: int = 1000) -> DataFrame:
-    """``silhouette``: mean of (b − a) / max(a, b) with Euclidean distance; 0 for a row alone in its cluster.
+    """``silhouette``: mean of (b − a) / max(a, b) with Euclidean distance; 0 for a row alone in its cluster. Rows with a missing value do not count.
 
-    By definition each row is compared with all, in pairs of blocks that add up distances per cluster."""
+    A row needs its distances to all rows of its own cluster, and of another cluster only if that can be the nearest: a
+    mean distance lies between the distance to the cluster's centre and the root of the mean squared one, both known from
+    sums. Rows meet those clusters in pairs of blocks, whose distances are one matrix each."""
     import numpy as np
     import pandas as pd
 
     kind = labelled.schema[key].dataType.simpleString()
-    rows = labelled.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"), F.array(*(as_number(c) for c in columns)).alias("x"))
+    rows = labelled.select(F.col(key).alias("id"), F.col("label").cast("int").alias("label"), F.array(*(as_number(c) for c in columns)).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    rows, d = cut(rows), len(columns)
+    centre = rows.groupBy("label").agg(F.count("*").alias("size"), F.array(*(F.avg(F.col("x")[i]) for i in range(d))).alias("c"), F.array(*(F.var_pop(F.col("x")[i]) for i in range(d))).alias("v"))
+    centres = centre.collect()  # one row per cluster
+    table = [(r["label"], r["c"], sum(r["v"])) for r in centres]
+    names, middle, spread = np.array([t[0] for t in table]), np.array([t[1] for t in table], dtype=float).reshape(len(table), d), np.array([t[2] for t in table], dtype=float)
+
+    def asked(batches):
+        """Each row with the clusters it has to be measured against."""
+        for batch in batches:
+            x = np.array(batch["x"].to_list(), dtype=float).reshape(len(batch), d)
+            low = ((x[:, None, :] - middle[None]) ** 2).sum(axis=2)
+            high = np.sqrt(low + spread[None]) * (1 + 1e-9) + 1e-12
+            own = batch["label"].to_numpy()[:, None] == names[None]
+            high[own] = np.inf
+            near = own | (np.sqrt(low) <= high.min(axis=1, initial=np.inf)[:, None])
+            a, b = np.nonzero(near)
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[a], "label": batch["label"].to_numpy()[a], "x": batch["x"].to_numpy()[a], "other": names[b]})
+
+    wanted = rows.mapInPandas(asked, f"id {kind}, label int, x array<double>, other int")
+    sizes = {r["label"]: max(1, -(-r["size"] // block)) for r in centres}
+    parts = F.create_map(*(F.lit(v) for pair in sizes.items() for v in pair)) if sizes else F.create_map().cast("map<int,int>")
+    packed = rows.groupBy(F.col("label").alias("other"), F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(parts, F.col("label")), F.lit(1))).alias("b")).agg(F.collect_list("x").alias("y"))
+    asks = wanted.groupBy("other", F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce(F.try_element_at(parts, F.col("label")), F.lit(1))).alias("q"), "label").agg(F.collect_list(F.struct("id", "x")).alias("asked"))
 
     def sums(batches):
         for batch in batches:
-            for asked, others in zip(batch["asked"], batch["rows"]):
-                names, place = np.unique([o["label"] for o in others], return_inverse=True)
-                y, counts, out = np.array([o["x"] for o in others], dtype=float), np.bincount(place), []
-                for row in asked:
-                    total = np.bincount(place, np.sqrt(((y - np.asarray(row["x"], dtype=float)) ** 2).sum(axis=1)))
-                    out += [(row["id"], row["label"], int(c), float(t), int(n)) for c, t, n in zip(names, total, counts)]
-                yield pd.DataFrame(out, columns=["id", "label", "other", "s", "n"])
-
-    near = block_pairs(rows, block).mapInPandas(sums, f"id {kind}, label int, other int, s double, n long")
+            for label, other, ask, y in zip(batch["label"], batch["other"], batch["asked"], batch["y"]):
+                x, y, square = np.array([r["x"] for r in ask], dtype=float), np.array(list(y), dtype=float), 0.0
+                for i in range(d):
+                    square = square + (x[:, i, None] - y[None, :, i]) ** 2
+                yield pd.DataFrame({"id": [r["id"] for r in ask], "label": label, "other": other, "s": np.sqrt(square).sum(axis=1), "n": len(y)})
+
+    near = asks.join(packed, "other").select("label", "other", "asked", "y").mapInPandas(sums, f"id {kind}, label int, other int, s double, n long")
     per = near.groupBy("id", "label", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own, rest = F.col("label") == F.col("other"), F.col("label") != F.col("other")
     each = per.groupBy("id").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"), F.min(F.when(rest, F.col("s") / F.col("n"))).alias("b"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
-from graphlume.operators.ordered import block_pairs, with_previous
+from graphlume.operators.ordered import near_tiles, tiles, with_previous
 from graphlume.session import cut
 
 #: Thresholds of the categories.
@@ -80,26 +80,52 @@ def metric_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return spread.join(gap_cv(long).withColumnRenamed("cv", "cv_gaps"), "feature").join(bimodality(long).select("feature", "bc"), "feature")
 
 
-def nearest(df: DataFrame, key: str, columns: list[str], k: int = 5, block: int = 1000) -> DataFrame:
-    """``a, b``: the ``k`` nearest other rows of each row (squared Euclid, ties by key), exactly.
+def _nearest_of(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the ``k`` nearest others of each row, ties by key."""
+    d = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        d += (x[:, i, None] - y[None, :, i]) ** 2
+    d[ids[:, None] == keys[None, :]] = np.inf
+    at = min(k, len(y)) - 1
+    a, b = np.nonzero((d <= np.partition(d, at, axis=1)[:, at, None]) & np.isfinite(d))
+    order = np.lexsort((keys[b], d[a, b], a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[place < k], b[place < k], d[a[place < k], b[place < k]]
 
-    All rows are compared with all, as the metric is defined, in pairs of blocks; each row keeps its ``k`` best of a block."""
+
+def nearest(df: DataFrame, key: str, columns: list[str], k: int = 5, block: int = 500) -> DataFrame:
+    """``a, b``: the ``k`` nearest other rows of each row (squared Euclid, ties by key), exactly. Rows with a missing value have no neighbours.
+
+    Rows near each other are packed in tiles. A tile's own rows give each an upper bound of its k-th distance; the
+    greatest of them is the tile's reach, and only tiles whose boxes lie within it are compared."""
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.array(*(as_number(c) for c in columns)).alias("x"))
+    rows = df.select(F.col(key).alias("id"), F.array(*(as_number(c) for c in columns)).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    tiled = cut(tiles(rows, "x", "id", block))
+
+    def arrays(packed) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r["id"] for r in packed]), np.array([r["x"] for r in packed], dtype=float)
+
+    def reach(batches):
+        for batch in batches:
+            out = []
+            for packed in batch["rows"]:
+                ids, x = arrays(packed)
+                a, _, d = _nearest_of(ids, x, ids, x, k)
+                full = len(a) == k * len(ids)
+                out.append(float(d.max()) if full else np.inf)
+            yield pd.DataFrame({"tile": batch["tile"], "low": batch["low"], "high": batch["high"], "reach": out})
 
     def best(batches):
         for batch in batches:
             for asked, others in zip(batch["asked"], batch["rows"]):
-                keys, y = np.array([o["id"] for o in others]), np.array([o["x"] for o in others], dtype=float)
-                out = []
-                for row in asked:
-                    d = ((y - np.asarray(row["x"], dtype=float)) ** 2).sum(axis=1)
-                    d[keys == row["id"]] = np.inf
-                    order = np.lexsort((keys, d))[:k]
-                    out += [(row["id"], keys[i], float(d[i])) for i in order if np.isfinite(d[i])]
-                yield pd.DataFrame(out, columns=["a", "b", "d"])
-
-    found = block_pairs(rows, block).mapInPandas(best, f"a {kind}, b {kind}, d double")
+                (ids, x), (keys, y) = arrays(asked), arrays(others)
+                a, b, d = _nearest_of(ids, x, keys, y, k)
+                yield pd.DataFrame({"a": ids[a], "b": keys[b], "d": d})
+
+    met = near_tiles(tiled.select("tile", "low", "high", "rows").mapInPandas(reach, "tile long, low array<double>, high array<double>, reach double"))
+    pairs = met.join(tiled.select("tile", F.col("rows").alias("asked")), "tile").join(tiled.select(F.col("tile").alias("other"), "rows"), "other")
+    found = pairs.select("asked", "rows").mapInPandas(best, f"a {kind}, b {kind}, d double")
     return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k).select("a", "b")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
-from graphlume.operators.ordered import running_sum
+from graphlume.operators.ordered import ranks, running_sum, salted_join
+from graphlume.session import cut
 
 REPORT = "column string, action string, reason string, null_ratio double, distinct_ratio double, dtype_before string"
 CHUNK = 2000
@@ -77,15 +78,18 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """Average ranks of each column's present values.
-
-    Equal values move as one row with their count, and ranks are running sums of the counts."""
-    out = df.select(*keep, *(as_number(c).alias(c) for c in columns))
-    for c in columns:
-        counts = out.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("_v")).agg(F.count("*").alias("_c"))
-        ranks = running_sum(counts, [], ["_v"], "_c", "_b").select("_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias("_r"))
-        out = out.join(ranks, F.col(f"`{c}`") == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
-    return out
+    """Average ranks of each column's present values; other columns of ``keep`` stay.
+
+    All columns go through one long table (row, column, value): equal values move as one row with their count, ranks are
+    running sums of the counts, and rows are put together again by their number in a written table."""
+    wide = cut(df.select(*keep, *(as_number(c).alias(c) for c in columns))).withColumn("_row", F.monotonically_increasing_id())
+    entries = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in columns))
+    long = wide.select("_row", F.explode(entries).alias("x")).select("_row", "x.feature", "x.value").where("value is not null")
+    ranked = salted_join(long, ranks(long, ["feature"], "value"), ["feature", "value"], "_row")
+    found = ranked.groupBy("_row").agg(*(F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns))
+    if not keep:
+        return found.drop("_row")
+    return wide.select("_row", *keep).join(found, "_row", "left").drop("_row")
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
