@@ -26,8 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlume.operators.ordered import salted_join
+from graphlume.session import cut
 
 SIZE, HELD = 200, 2_000_000
+#: Parts in which the partial digests of one group meet first.
+MERGED_IN = 16
 PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 SCHEMA = "grp string, n long, low double, high double, means array<double>, weights array<double>"
 
@@ -131,8 +134,10 @@ def _key(keys: list[str]) -> Column:
 
 
 def merged(partial: DataFrame, size: int = SIZE) -> DataFrame:
-    """One digest per group from any number of partial ones."""
-    return partial.repartition("grp").sortWithinPartitions("grp").mapInPandas(_from_digests(size), SCHEMA)
+    """One digest per group from any number of partial ones: those of one group meet in parts first, so that no task merges all of a hot group's."""
+    part = F.pmod(F.xxhash64("means"), F.lit(MERGED_IN))
+    some = partial.repartition("grp", part).sortWithinPartitions("grp").mapInPandas(_from_digests(size), SCHEMA)
+    return some.repartition("grp").sortWithinPartitions("grp").mapInPandas(_from_digests(size), SCHEMA)
 
 
 def digest(df: DataFrame, keys: list[str], value: str, size: int = SIZE) -> DataFrame:
@@ -171,11 +176,15 @@ def estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES)
 
 
 def certified(estimated: DataFrame, df: DataFrame, keys: list[str], value: str, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """``grp, n, percentile, value, bound, rank_error``; ``df`` holds the values themselves."""
+    """``grp, n, percentile, value, bound, rank_error``; ``df`` holds the values themselves, and best a column that tells its rows apart.
+
+    The estimates (one row per group) are written once: their size decides whether they are broadcast, so that values are
+    counted where they lie, or meet the values of a group in parts by the hash of the whole row."""
     x = F.col(value).cast("double")
-    finite = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(_key(keys).alias("grp"), x.alias("x"))
-    # equal values of a group count together before the estimates meet them
-    met = salted_join(finite.withColumn("spread", F.xxhash64("x")), estimated.select("grp", "values"), ["grp"], "spread")
+    estimated = cut(estimated)
+    spread = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    finite = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(_key(keys).alias("grp"), x.alias("x"), spread.alias("spread"))
+    met = salted_join(finite, estimated.select("grp", "values"), ["grp"], "spread")
     counts = [F.count_if(F.col("x") < F.col("values")[i]).alias(f"below{i}") for i in range(len(percentiles))] + [F.count_if(F.col("x") <= F.col("values")[i]).alias(f"upto{i}") for i in range(len(percentiles))]
     counted = met.groupBy("grp").agg(F.count("*").alias("n_counted"), *counts)
     joined = estimated.join(counted, "grp")

@@ -12,9 +12,11 @@ sufficient prefix, and the rarest of them the best one. Steps:
 3. Prefix tokens meet the runs; a meeting gives the only place where the window can lie
    in the run (positional bound), and there all words are compared (exact check).
 
-Items are treated in blocks of ``block_words`` words against all documents, so that what
-is sent to the executors is bounded whatever the number of items. Only item shingles are
-counted, never those of all documents.
+Items are treated in blocks of ``block_words`` words (and one item at most) against all documents.
+What the driver holds and what is sent to the executors is one block, whatever the number of items:
+a window (36 bytes) and a number (8 bytes) for each word. Documents are parsed once; with several
+blocks their words are written and read again by each. Only item shingles are counted, never those
+of all documents.
 
 Defined results: null or empty documents leak nothing; an item without words is never
 found; documents or items that occur twice give one row; extra columns are ignored.
@@ -22,9 +24,8 @@ found; documents or items that occur twice give one row; extra columns are ignor
 
 from __future__ import annotations
 
-from collections import defaultdict
+import itertools
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlume.llm import mail
+from graphlume.operators.ordered import running_sum
 from graphlume.session import cut
 
 WIDTH, WINDOW, BLOCK_WORDS = 5, 25, 200_000
@@ -118,18 +120,41 @@ def _leaks(documents: DataFrame, items: list[tuple[int, list[str]]], width: int,
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, window: int = WINDOW, block_words: int = BLOCK_WORDS, parts: Callable[[str], list[str]] = mail.parts) -> DataFrame:
     """``doc_id, item_id`` of every document that holds a passage of an item."""
     documents = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null and text != ''")
-    blocks: dict[tuple[int, int], list[tuple[int, list[str]]]] = defaultdict(list)
-    filled: dict[int, int] = defaultdict(int)
-    seen = set()
-    for row in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        ws = mail.words(row["t"])
-        if not ws or (row["i"], row["t"]) in seen:
-            continue
-        seen.add((row["i"], row["t"]))
-        size = min(width, len(ws))  # an item shorter than a shingle is one shingle
-        blocks[size, filled[size] // block_words].append((row["i"], ws))
-        filled[size] += len(ws)
-    if not blocks:
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [mail.words(t) for t in batch["text"]]
+            yield pd.DataFrame({"item": batch["item"], "words": found, "n": [len(ws) for ws in found]})
+
+    listed = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    listed = listed.mapInPandas(read, "item long, words array<string>, n long").where("n > 0")
+    # an item shorter than a shingle is one shingle; blocks hold items of one shingle width
+    listed = listed.withColumn("width", F.least(F.col("n"), F.lit(width)).cast("int")).withColumn("order", F.xxhash64("item", "words"))
+    listed = running_sum(listed, ["width"], ["item", "order"], "n", "before").withColumn("block", F.floor(F.col("before") / block_words).cast("long"))
+    listed = cut(listed.select("width", "block", "item", "words"))
+    blocks = listed.select("width", "block").distinct().orderBy("width", "block").toLocalIterator()
+    out = None
+    for at, next_ in itertools.pairwise(itertools.chain(blocks, [None])):
+        if out is None and next_ is not None:
+            documents, parts = _read_once(documents, parts), _joined_parts  # several blocks: parsed once, read by each
+        # one block at a time on the driver: block_words words and one item at most
+        block = [(r["item"], r["words"]) for r in listed.where((F.col("width") == at["width"]) & (F.col("block") == at["block"])).orderBy("item").collect()]
+        found = _leaks(documents, block, at["width"], window, parts)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    found = [_leaks(documents, block, size, window, parts) for (size, _), block in sorted(blocks.items())]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return out.distinct()
+
+
+def _read_once(documents: DataFrame, parts: Callable[[str], list[str]]) -> DataFrame:
+    """Documents as the words of their parts, written once: parts parted by a form feed, words by blanks."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": ["\f".join(" ".join(mail.words(p)) for p in parts(t)) for t in batch["text"]]})
+
+    return cut(documents.mapInPandas(read, "doc_id long, text string"))
+
+
+def _joined_parts(text: str) -> list[str]:
+    return text.split("\f")

@@ -27,7 +27,6 @@ _TAG = re.compile(r"</?[a-z!?][^>]*>", re.I)
 #: Signs that a reader does not see; removed so that they do not break words.
 _INVISIBLE = re.compile("[­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
-DEEPEST = 50
 
 
 def _decoded(data: bytes, content_type: str) -> str:
@@ -56,40 +55,42 @@ def _seen(text: str) -> str:
     return html.unescape(_TAG.sub("", _BLOCK.sub("\n", text)))
 
 
-def _parts(text: str, found: list[str], depth: int) -> None:
-    head, body = "", text
-    if _HEADER.match(text):
-        head, _, body = text.partition("\n\n")
-    elif depth and text.startswith("\n"):
-        body = text[1:]
-    fields = {}
-    for name, value in _FIELD.findall(_UNFOLD.sub(" ", head)):
-        fields.setdefault(name.lower(), value)
-    content_type = fields.get("content-type", "text/plain")
-    kind = content_type.split(";")[0].strip().lower()
-    encoding = fields.get("content-transfer-encoding", "").split(";")[0].strip().lower()
-    if kind.startswith("multipart/") and depth < DEEPEST:
-        boundary = _BOUNDARY.search(content_type)
-        mark = boundary and (boundary[1] if boundary[1] is not None else boundary[2]).rstrip()
-        pieces = re.split(rf"(?m)^--{re.escape(mark)}(--)?[ \t]*(?:\n|\Z)", body) if mark else [body]
-        if len(pieces) == 1:
-            found.append(body)
-        for closed, piece in zip(pieces[1::2], pieces[2::2]):
-            if closed:
-                break
-            _parts(piece, found, depth + 1)
-    elif kind == "message/rfc822" and depth < DEEPEST:
-        _parts(_without_encoding(body, encoding, content_type).lstrip("\n"), found, depth + 1)
-    elif kind.startswith("text") or "/" not in kind:
-        body = _without_encoding(body, encoding, content_type)
-        found.append(_seen(body) if kind == "text/html" else body)
-
-
 def parts(text: str) -> list[str]:
+    """The text parts in reading order; a work list, so that no depth of nesting is too deep."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     found: list[str] = []
-    _parts(text, found, 0)
+    waiting = [(text, False)]
+    while waiting:
+        text, inside = waiting.pop()
+        head, body = "", text
+        if _HEADER.match(text):
+            head, _, body = text.partition("\n\n")
+        elif inside and text.startswith("\n"):
+            body = text[1:]
+        fields = {}
+        for name, value in _FIELD.findall(_UNFOLD.sub(" ", head)):
+            fields.setdefault(name.lower(), value)
+        content_type = fields.get("content-type", "text/plain")
+        kind = content_type.split(";")[0].strip().lower()
+        encoding = fields.get("content-transfer-encoding", "").split(";")[0].strip().lower()
+        if kind.startswith("multipart/"):
+            boundary = _BOUNDARY.search(content_type)
+            mark = boundary and (boundary[1] if boundary[1] is not None else boundary[2]).rstrip()
+            pieces = re.split(rf"(?m)^--{re.escape(mark)}(--)?[ \t]*(?:\n|\Z)", body) if mark else [body]
+            if len(pieces) == 1:
+                found.append(body)
+            inner = []
+            for closed, piece in zip(pieces[1::2], pieces[2::2]):
+                if closed:
+                    break
+                inner.append((piece, True))
+            waiting += inner[::-1]
+        elif kind == "message/rfc822":
+            waiting.append((_without_encoding(body, encoding, content_type).lstrip("\n"), True))
+        elif kind.startswith("text") or "/" not in kind:
+            body = _without_encoding(body, encoding, content_type)
+            found.append(_seen(body) if kind == "text/html" else body)
     return found
 
 

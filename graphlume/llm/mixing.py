@@ -22,16 +22,16 @@ a given total the mix is as large as the reachable quotas allow.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlume.operators.ordered import salted_join
 from graphlume.session import cut
 
 BUCKETS = 1024
-#: More patterns than this are refused: the network is solved on the driver.
-MOST_PATTERNS = 100_000
 
 
 @dataclass
@@ -88,6 +88,42 @@ class Network:
         return self.arcs[arc ^ 1][1]
 
 
+def _largest(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]]) -> int:
+    """The largest total whose quotas can all be filled.
+
+    A total is too large if some set of sources asks for more than its patterns can give, and a maximal flow shows such a
+    set (the sources it leaves reachable). The total is lowered to what that set can give until no set is short: each
+    round finds another set, and in practice a handful are needed."""
+    gives = lambda some: sum(n * min(max(targets[s][1] for s in own), sum(targets[s][1] for s in own if s in some)) for p, n in patterns.items() if (own := [s for s in p if s in targets]))
+    short = set(targets)
+    total = math.floor(gives(short) / sum(targets[s][0] for s in short))
+    while total > 0:
+        net = Network()
+        quotas = {s: round(q * total) for s, (q, _) in targets.items()}
+        for s in sorted(targets):
+            net.add(("source", s), "end", quotas[s])
+        for p, n in sorted(patterns.items()):
+            own = [s for s in p if s in targets]
+            if own and n:
+                net.add("start", ("pattern", p), n * max(targets[s][1] for s in own))
+                for s in own:
+                    net.add(("pattern", p), ("source", s), n * targets[s][1])
+        if net.solve("start", "end") == sum(quotas.values()):
+            return total
+        reached, waiting = {"end"}, ["end"]
+        while waiting:  # the sources that still could give to the end
+            b = waiting.pop()
+            for i in net.out.get(b, ()):
+                a = net.arcs[i][0]
+                if net.arcs[i ^ 1][1] > 0 and a not in reached:
+                    reached.add(a)
+                    waiting.append(a)
+        short = {s for s in targets if ("source", s) in reached}
+        most = math.floor(gives(short) / sum(targets[s][0] for s in short)) if short else total - 1
+        total = min(total - 1, most)
+    return 0
+
+
 def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
     """The mix's total and the tokens each pattern gives each of its sources.
 
@@ -109,20 +145,10 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
                 routes[p, s] = net.add(("pattern", p), ("source", s), n * targets[s][1])
         return net, routes, wanted
 
-    def fits(size: int) -> bool:
-        net, _, wanted = network(size)
-        return net.solve("start", "end") == wanted if reachable else False
-
     if not reachable:
         return 0, {}
     if total is None:
-        low, high = 0, 1
-        while fits(high):
-            low, high = high, high * 2
-        while high - low > max(1, low // 1_000_000):
-            middle = (low + high) // 2
-            low, high = (middle, high) if fits(middle) else (low, middle)
-        total = low
+        total = _largest(patterns, {s: targets[s] for s in reachable})
     net, routes, _ = network(total)
     net.solve("start", "end")
     return total, {k: net.flow(arc) for k, arc in routes.items() if net.flow(arc)}
@@ -144,24 +170,23 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     names = F.array(*(F.lit(s) for s in sorted(wanted))) if wanted else F.array().cast("array<string>")
     used = docs.select("doc_id", F.array_sort(F.array_intersect("sources", names)).alias("pattern"), F.col("n_tokens").cast("long").alias("n_tokens")).where("size(pattern) > 0 and n_tokens > 0").dropDuplicates(["doc_id"])
     used = cut(used)  # read three times: sizes are counted once
-    rows = used.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    patterns = {tuple(r["pattern"]): r["n"] for r in rows}
+    # of S target sources there are at most 2^S - 1 patterns, however many documents there are
+    patterns = {tuple(r["pattern"]): r["n"] for r in used.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).toLocalIterator()}
     _, flows = route(patterns, wanted, total)
     stretches, ends = [], dict.fromkeys(patterns, 0)
     for (p, s), amount in sorted(flows.items()):
         stretches.append((list(p), s, ends[p], ends[p] + amount, patterns[p]))
         ends[p] += amount
-    stretch = F.broadcast(spark.createDataFrame(stretches, "pattern array<string>, source string, a long, b long, whole long"))  # patterns x sources rows
+    stretch = spark.createDataFrame(stretches, "pattern array<string>, source string, a long, b long, whole long")
     placed = used.withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftright("hash", 32), F.lit(buckets)))
     sums = placed.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("pattern", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.join(F.broadcast(sums), ["pattern", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))  # patterns x buckets rows
+    # buckets keep a pattern of any size apart; the planner broadcasts the sums where they are small
+    at = placed.join(sums, ["pattern", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     # the document begins at ``at``, at + whole, at + 2 whole, …: count its beginnings within [a, b)
-    chosen = at.join(stretch, "pattern")
+    chosen = salted_join(at, stretch, ["pattern"], "doc_id")
     lower = F.greatest(F.lit(0), F.ceil((F.col("a") - F.col("at")) / F.col("whole")))
     upper = F.greatest(F.lit(0), F.ceil((F.col("b") - F.col("at")) / F.col("whole")))
     return chosen.withColumn("repeats", (upper - lower).cast("int")).where("repeats > 0").select("doc_id", "source", "repeats", "n_tokens")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,23 +32,31 @@ def _plain(certified: DataFrame, schema: str, src: str, columns: list[str]) -> D
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of Country_physicians by country and load day, and of cpu_time by data, heuristic and k."""
     columns, out = ["country_id", "load_day", "data", "heuristic", "k"], []
-    for src, values, keys, schema, value in (
-        ("node_indicators", _node_values(spark, sf_dir), NODE_KEYS, NODE_SCHEMA, "Country_physicians"),
-        ("solver_logs", _run_values(spark, sf_dir), RUN_KEYS, RUN_SCHEMA, "cpu_time"),
+    for src, values, row, keys, schema, value in (
+        ("node_indicators", _node_values(spark, sf_dir), "outid", NODE_KEYS, NODE_SCHEMA, "Country_physicians"),
+        ("solver_logs", _run_values(spark, sf_dir), "log_id", RUN_KEYS, RUN_SCHEMA, "cpu_time"),
     ):
-        values = values.select(*keys, value).persist(StorageLevel.DISK_ONLY)  # read by both passes
+        values = cut(values.select(row, *keys, value))  # read by both passes
         made = digests.certified(digests.estimates(digests.digest(values, keys, value)), values, keys, value)
         out.append(_plain(made, schema, src, columns))
     return out[0].unionByName(out[1])
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each percentile, how many values it rests on and whether its counted rank error is within the digest's bound, and that within 2 %."""
+    found = p1_percentiles(spark, sf_dir)
+    few = F.col("n") < 200  # a centroid of such a group holds a single value, which is more than its share of the bound
+    within = (F.col("rank_error") <= F.col("bound") + 1e-12) & (few | (F.col("bound") <= 0.02))
+    return found.select("src", "country_id", "load_day", "data", "heuristic", "k", F.round("percentile", 2).alias("percentile"), "n", within.alias("within"))
+
+
 def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of single loads combined: percentiles of Country_physicians by country and month."""
-    values = _node_values(spark, sf_dir).select(*NODE_KEYS, "Country_physicians")
+    values = cut(_node_values(spark, sf_dir).select("outid", *NODE_KEYS, "Country_physicians"))
     loads = cut(digests.digest(values, NODE_KEYS, "Country_physicians"))
     month = F.date_format("load_day", "yyyy-MM")
     months = digests.regrouped(loads, NODE_SCHEMA, {"country_id": F.col("country_id"), "period": month})
-    of_month = values.select("country_id", month.alias("period"), "Country_physicians")
+    of_month = values.select("outid", "country_id", month.alias("period"), "Country_physicians")
     return _plain(digests.certified(digests.estimates(months), of_month, ["country_id", "period"], "Country_physicians"), "country_id long, period string", "node_indicators", ["country_id", "period"])
 
 
@@ -103,4 +110,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_periods, p5_found, p5_clusters, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_bounds, p1_periods, p5_found, p5_clusters, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}

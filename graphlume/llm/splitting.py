@@ -6,15 +6,18 @@ or nothing. Dynamic programming over these positions finds the cuts with the lea
 grades and size imbalance such that no piece has more than ``limit`` tokens and each piece
 begins with the last ``overlap`` tokens of the one before.
 
-Weaker positions are considered only where stronger ones are more than ``GAP`` tokens
-apart, so that the search stays near-linear in the length of the text and a solution
-always exists, be it one word of a million characters. A piece never begins or ends
+The minimum is over the positions offered: all lines and stronger boundaries, and weaker ones
+where these are more than ``gap`` tokens apart, which keeps the search near-linear in the length
+of the text (``gap=0`` offers every position). A piece never begins or ends
 within a character; where the overlap would, it begins up to three tokens earlier. A
-piece is counted again by itself, and if tokens fall differently there so that it is over
-the limit, the whole item is cut anew with a lower limit.
+piece is counted again by itself; if tokens fall differently there so that it is over
+the limit, the whole item is cut anew with a lower limit, and if that ends, piece by piece
+at the last position that keeps within it.
 
 Defined results: items within the limit, null and empty ones give no piece; an item id
-that occurs twice is cut twice; extra columns are ignored.
+that occurs twice is cut twice; extra columns are ignored. Where one character with the overlap
+before it has more tokens than the limit, no piece within the limit exists: that piece is over it
+and says so in ``n_tokens``.
 """
 
 from __future__ import annotations
@@ -114,7 +117,22 @@ def _cut(n: int, grades: np.ndarray, allowed: np.ndarray, limit: int, overlap: i
     return spans[::-1]
 
 
-def split_text(text: str, encoding, lengths: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
+def _by_counting(data: bytes, offsets: np.ndarray, allowed: np.ndarray, encoding, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans by counting each piece by itself: as long as they may be, one position more than the last at least."""
+    n, legal, spans, start, done = len(offsets) - 1, np.flatnonzero(allowed), [], 0, 0
+    count = lambda a, b: len(encoding.encode_ordinary(data[offsets[a] : offsets[b]].decode("utf-8")))
+    while done < n:
+        later = legal[legal > done]
+        at = max(int(np.searchsorted(later, start + limit, side="right")) - 1, 0)
+        while at and count(start, later[at]) > limit:
+            at -= 1
+        done = int(later[at])
+        spans.append((start, done))
+        start = int(legal[np.searchsorted(legal, max(done - overlap, 0), side="right") - 1])
+    return spans
+
+
+def split_text(text: str, encoding, lengths: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, gap: int = GAP) -> list[Piece]:
     """The pieces of one text; none if it is within the limit."""
     if not text:
         return []
@@ -127,25 +145,28 @@ def split_text(text: str, encoding, lengths: np.ndarray, limit: int = LIMIT, ove
     marks = np.frombuffer(data + b" ", dtype=np.uint8)
     allowed = (marks[offsets] & 0xC0) != 0x80
     grades = _grades(data, offsets)
-    most, gap = limit, GAP
+    count = lambda spans: [len(encoding.encode_ordinary(data[offsets[a] : offsets[b]].decode("utf-8"))) for a, b in spans]
+    most = limit
     while True:
-        spans = _cut(n, grades, allowed, most, overlap, gap)
-        if spans is None:
-            if gap == 0:
-                raise ValueError(f"no cut of {n} tokens satisfies {limit} tokens with {overlap} repeated")
+        spans = _cut(n, grades, allowed, most, overlap, gap) if most > overlap else None
+        if spans is None and gap and most > overlap:
             gap = 0
             continue
-        again = [len(encoding.encode_ordinary(data[offsets[a] : offsets[b]].decode("utf-8"))) for a, b in spans]
-        if max(again) <= limit or most <= overlap + 8:
+        if spans is None:
+            spans = _by_counting(data, offsets, allowed, encoding, limit, overlap)
+            again = count(spans)
+            break
+        again = count(spans)
+        if max(again) <= limit:
             break
         most -= max(again) - limit
     return [
-        Piece(int(offsets[a]), int(offsets[b]), count, spans[i - 1][1] - a if i else 0, _NAMES[grades[b]] if b < n else "end")
-        for i, ((a, b), count) in enumerate(zip(spans, again))
+        Piece(int(offsets[a]), int(offsets[b]), counted, spans[i - 1][1] - a if i else 0, _NAMES[grades[b]] if b < n else "end")
+        for i, ((a, b), counted) in enumerate(zip(spans, again))
     ]
 
 
-def split_items(df: DataFrame, item: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, ranks: str = tokens.RANKS, with_text: bool = True) -> DataFrame:
+def split_items(df: DataFrame, item: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, ranks: str = tokens.RANKS, with_text: bool = True, gap: int = GAP) -> DataFrame:
     """``item, piece, n_tokens, repeated, start_byte, end_byte, boundary[, piece_text]`` of every item over the limit.
 
     Needs no shuffle. Texts of at most ``limit`` bytes are skipped unread: each token has at least one byte.
@@ -162,7 +183,7 @@ def split_items(df: DataFrame, item: str, text: str, limit: int = LIMIT, overlap
             out = []
             for key, body in zip(batch["item"], batch["text"]):
                 data = body.encode("utf-8") if with_text else b""
-                for i, p in enumerate(split_text(body, encoding, lengths, limit, overlap)):
+                for i, p in enumerate(split_text(body, encoding, lengths, limit, overlap, gap)):
                     out.append((key, i + 1, p.n_tokens, p.repeated, p.start, p.end, p.boundary, *([data[p.start : p.end].decode("utf-8")] if with_text else [])))
             yield pd.DataFrame(out, columns=[*columns])
 
