@@ -95,6 +95,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for messages: copies of one message (by its Message-ID) in several sources are one document of all these sources, so that the flow has something to route."""
+    targets = table(spark, sf_dir, "mix_targets")
+    documents = table(spark, sf_dir, "documents").select("doc_id", mixing.plain_name(F.col("source")).alias("source"), "text")
+    message = F.nullif(F.regexp_extract("text", r"(?im)^message-id:\s*(\S+)", 1), F.lit(""))
+    counted = tokens.count_tokens(documents.withColumn("message", F.coalesce(message, F.col("doc_id").cast("string"))), "text")
+    # a message is no longer than its first copy; its sources are at most those of the targets' table and some names more
+    one = counted.groupBy("message").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"), F.min_by("n_tokens", "doc_id").alias("n_tokens"))
+    return mixing.shares(mixing.mix(one.drop("message"), targets), targets)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of an evaluation item, with the item."""
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -110,4 +121,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_bounds, p1_periods, p5_found, p5_clusters, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_bounds, p1_periods, p5_found, p5_clusters, p6_found, p7_mix, p7_shares, p7_shared, p8_found, p8_pieces)}
