@@ -85,8 +85,8 @@ def node_context(graph: PropertyGraph, label: str, node_id: int, allowed: list[s
 
 
 def pick_node(graph: PropertyGraph, label: str, seed: int = 0) -> DataFrame:
-    """One node's ``id``, the least by seeded hash: the same for the same data and seed."""
-    return graph.nodes[label].select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1)
+    """One node's ``id``, the least by the MD5 of seed and id: the same for the same data and seed, in any engine."""
+    return graph.nodes[label].select("id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(1)
 
 
 def shortest_first(df: DataFrame) -> DataFrame:

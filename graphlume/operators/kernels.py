@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphlume.operators.graph import as_number
 from graphlume.operators.metrics import unpivoted
-from graphlume.operators.ordered import running_sum
+from graphlume.operators.ordered import running_sum, salted_join
 from graphlume.session import cut
 
 Centres = list[list[float]]
@@ -212,20 +212,105 @@ def cluster(df: DataFrame, key: str, columns: list[str], compared: list[str], k:
 
 
 def pair_sums(labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """``label, feature, n, l1, l2``: sums over all pairs of a cluster of |x - y| and (x - y)².
+    """``label, feature, n, l1, l2``: sums over all pairs of a cluster of |x - y| and (x - y)²."""
+    return pair_sums_of(unpivoted(labelled, columns, ["label"]), ["label", "feature"])
+
+
+def pair_sums_of(long: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, n, l1, l2`` over the pairs of ``value`` with equal keys.
 
     L1 = Σ (2r - n - 1) x over ascending ranks r; L2 = n Σx² - (Σx)² of values centred in the cluster.
     The ranks run over distinct values with their counts."""
-    long = unpivoted(labelled, columns, ["label"])
-    counts = long.groupBy("label", "feature", "value").agg(F.count("*").alias("c"))
-    keys = ["label", "feature"]
+    counts = cut(long.groupBy(*keys, "value").agg(F.count("*").alias("c")))
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
-    ranked = running_sum(counts, keys, ["value"], "c", "b").join(F.broadcast(totals), keys)  # clusters x columns rows
+    ranked = salted_join(running_sum(counts, keys, ["value"], "c", "b"), totals, keys, "value")
     x = F.col("value") - F.col("mean")
     # c equal values at ranks b + 1 … b + c: their 2r - n - 1 add up to c (2b + c - n)
     return ranked.groupBy(*keys, "n").agg(F.sum(x * F.col("c") * (2 * F.col("b") + F.col("c") - F.col("n"))).alias("l1"), (F.col("n") * F.sum(F.col("c") * x * x) - F.pow(F.sum(F.col("c") * x), F.lit(2.0))).alias("l2"))
 
 
+def kmeans_many(df: DataFrame, key: str, columns: list[str], sets: list[list[str]], k: int, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, seed: int = 0) -> DataFrame:
+    """``key, *columns, at, label``: ``kmeans`` on each of several sets of columns, all in the same passes over the rows.
+
+    A pass brings ``k`` rows of sums for each set to the driver. Same start, empty clusters and end as ``kmeans``."""
+    import numpy as np
+    import pandas as pd
+
+    places = [[columns.index(c) for c in s] for s in sets]
+    start = np.array(start_rows(df, key, columns, k, seed))
+    if len(start) < k:
+        raise ValueError("fewer rows than clusters")
+    centres = {i: start[:, p] for i, p in enumerate(places)}
+    numbers = df.select(F.col(key), *(as_number(c).alias(c) for c in columns))
+
+    def labels(x: np.ndarray, i: int, centre: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(x), k))
+        for j, place in enumerate(places[i]):
+            d += (x[:, place, None] - centre[None, :, j]) ** 2
+        return d.argmin(axis=1)
+
+    def sums(now: dict):
+        def run(batches):
+            held: dict = {}
+            for batch in batches:
+                x = batch[columns].to_numpy(dtype=float)
+                for i, centre in now.items():
+                    at = labels(x, i, centre)
+                    for j in range(k):
+                        part = x[at == j][:, places[i]]
+                        if len(part):
+                            n, total = held.get((i, j), (0, 0.0))
+                            held[i, j] = (n + len(part), total + part.sum(axis=0))
+            yield pd.DataFrame([(i, j, n, total) for (i, j), (n, total) in held.items()], columns=["at", "label", "n", "total"])
+
+        return run
+
+    moving = set(centres)
+    for step in range(iterations):
+        partial = numbers.mapInPandas(sums({i: centres[i] for i in moving}), "at int, label int, n long, total array<double>")
+        found: dict = {}
+        for r in partial.collect():  # tasks x sets x k rows of sums
+            n, total = found.get((r["at"], r["label"]), (0, 0.0))
+            found[r["at"], r["label"]] = (n + r["n"], total + np.array(r["total"]))
+        spare = None
+        for i in sorted(moving):
+            new = []
+            for j in range(k):
+                if (i, j) in found:
+                    new.append(found[i, j][1] / found[i, j][0])
+                else:
+                    spare = spare if spare is not None else np.array(start_rows(df, key, columns, k, seed + step + 1))
+                    new.append(spare[j][places[i]])
+            new = np.array(new)
+            if math.sqrt(((new - centres[i]) ** 2).sum()) <= tolerance:
+                moving.discard(i)
+            else:
+                centres[i] = new
+        if not moving:
+            break
+
+    def final(batches):
+        for batch in batches:
+            x = batch[columns].to_numpy(dtype=float)
+            for i, centre in centres.items():
+                yield batch.assign(at=i, label=labels(x, i, centre))
+
+    kind = df.schema[key].dataType.simpleString()
+    return numbers.mapInPandas(final, f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in columns) + ", at int, label int")
+
+
+def objective_many(labelled: DataFrame, columns: list[str], sets: list[list[str]], compared: list[list[str]]) -> DataFrame:
+    """``at, objective`` of the labels of each set (``at``), for rows as ``kmeans_many`` gives them."""
+    sides = F.create_map(*(F.lit(x) for i, (p, q) in enumerate(zip(sets, compared)) for x in (i, ";" + ";".join([*(f"-{columns.index(c)}" for c in p), *(f"+{columns.index(c)}" for c in q)]) + ";")))
+    entries = F.array(*(F.struct(F.lit(f"{sign}{i}").alias("feature"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns) for sign in "-+"))
+    used = F.filter(entries, lambda x: F.contains(sides[F.col("at")], F.concat(F.lit(";"), x["feature"], F.lit(";"))))
+    long = labelled.select("at", "label", F.explode(used).alias("x")).select("at", "label", "x.feature", "x.value").where("value is not null")
+    found = pair_sums_of(long, ["at", "label", "feature"])
+    share = lambda values: F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (i, float(v))))[F.col("at")]
+    gain, loss = share([len(q) / len(columns) for q in compared]), share([1 - len(p) / len(columns) for p in sets])
+    return found.groupBy("at").agg(F.sum(F.when(F.col("feature").startswith("+"), gain * F.col("l1")).otherwise(-loss * F.col("l2"))).alias("objective"))
+
+
 def objective_parts(labelled: DataFrame, columns: list[str], compared: list[str], skip_last: bool = False) -> DataFrame:
     """``compared_sum, clustered_sum``: L1 over comparison and squared L2 over clustering columns of all pairs within clusters."""
     if skip_last:  # the published tree walk leaves out the cluster with the greatest label

@@ -72,12 +72,29 @@ def ranked_categories(long: DataFrame, most_clustering: int = 2, least_compariso
     return ranked.select("feature", "n", "bc", "cv", found.alias("category"))
 
 
-def metric_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature, cv_values, cv_gaps, bc`` of standardised columns (population deviation); null where a column is constant."""
+METRICS = ["cv_values", "cv_gaps", "bc", "laplacian"]
+
+
+def metric_table(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
+    """``feature, cv_values, cv_gaps, bc, laplacian`` of standardised columns (population deviation), lowest Laplacian score first; null where a column is constant.
+
+    ``key`` identifies a row; rows with a missing value have no neighbours and do not count in the Laplacian score."""
     long = unpivoted(df, columns)
     # standardising changes neither BC nor gap CV; the CV of the values is of the raw ones
-    spread = long.groupBy("feature").agg(F.try_divide(F.stddev_pop("value"), F.avg("value")).alias("cv_values"))
-    return spread.join(gap_cv(long).withColumnRenamed("cv", "cv_gaps"), "feature").join(bimodality(long).select("feature", "bc"), "feature")
+    stats = long.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    moments = {r["feature"]: (r["m"], r["s"]) for r in stats.collect()}  # one row per column of the table
+    standard = df.select(f"`{key}`", *((as_number(c) * 0.0 if c not in moments or not moments[c][1] else (as_number(c) - moments[c][0]) / moments[c][1]).alias(c) for c in columns))
+    scores = laplacian_scores(standard, key, columns, k).withColumnRenamed("score", "laplacian")
+    spread = stats.select("feature", F.try_divide("s", "m").alias("cv_values"))
+    found = spread.join(gap_cv(long).withColumnRenamed("cv", "cv_gaps"), "feature").join(bimodality(long).select("feature", "bc"), "feature").join(scores, "feature", "left")
+    return found.orderBy(F.asc_nulls_last("laplacian"), "feature")
+
+
+def metric_correlations(table: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """``a, b, r``: Pearson correlation of each two metrics over the features that have both."""
+    from graphlume.operators.validate import pearson_pairs
+
+    return pearson_pairs(table, metrics or METRICS)
 
 
 def _nearest_of(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,15 +184,15 @@ def knee_split(scores: DataFrame, spacing: DataFrame) -> DataFrame:
     return both.withColumn("category", found)
 
 
-def dip(values: np.ndarray) -> float:
-    """Hartigan and Hartigan's dip of a sorted sample: the largest gap between its distribution and the nearest unimodal one.
+def dip(values: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Hartigan and Hartigan's dip of a sample (of values with their counts, if given): the largest gap between its distribution and the nearest unimodal one.
 
     Computed by narrowing the modal interval with the greatest convex minorant and least concave majorant."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 2 or x[0] == x[-1]:
+    points, place = np.unique(np.asarray(values, dtype=float), return_inverse=True)
+    counts = np.bincount(place, counts).astype(np.int64) if len(points) else np.empty(0, dtype=np.int64)
+    n = int(counts.sum())
+    if n < 2 or len(points) == 1:
         return 1.0 / (2 * n) if n else 0.0
-    points, counts = np.unique(x, return_counts=True)
     after = np.cumsum(counts) / n
     before = after - counts / n
     left, right, found = 0, len(points) - 1, 1.0 / n
@@ -218,16 +235,16 @@ def dip(values: np.ndarray) -> float:
     return found / 2
 
 
-def dip_statistics(long: DataFrame, most: int = 5_000_000) -> DataFrame:
-    """``feature, n, dip``. The statistic needs a feature's sorted values in one place: more than ``most`` of them are refused."""
-    sizes = long.groupBy("feature").agg(F.count("*").alias("n"))
-    if not sizes.where(F.col("n") > most).isEmpty():
-        raise ValueError(f"a feature has more than {most} values")
+def dip_statistics(long: DataFrame) -> DataFrame:
+    """``feature, n, dip``. The statistic depends on a feature's values only through their distribution, so equal values are one
+    point with their count; a feature's distinct values come together in one task."""
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(pdf)], "dip": [dip(pdf["value"].to_numpy())]})
+        n = int(pdf["c"].sum())
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [n], "dip": [dip(pdf["value"].to_numpy(), pdf["c"].to_numpy())]})
 
-    return long.groupBy("feature").applyInPandas(one, "feature string, n long, dip double")
+    return counts.groupBy("feature").applyInPandas(one, "feature string, n long, dip double")
 
 
 def column_groups(metrics: DataFrame, column: str, groups: int) -> DataFrame:

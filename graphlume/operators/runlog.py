@@ -12,11 +12,11 @@ from graphlume.session import cut
 #: The forms of log file names and log lines.
 FILE_NAME = r"^([a-zA-Z0-9_-]+)_(lp|ls|rd|sls|exp)_(\d+)_(\d+)\.log$"
 SOLUTION = r"\[best solution\]\s*:\s*\[([^\]]+)\]"
-SCORE = r"\[best solution\][^\|]*\|\s*(-?\d+(?:\.\d+)?)"
-CPU = r"\[CPU time\]\s*([0-9.]+)\s*seconds"
-WALL = r"\[Wall time\]\s*([0-9.]+)\s*seconds"
+SCORE = r"\[best solution\][^\|]*\|\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+CPU = r"\[CPU time\]\s*([0-9.]+(?:[eE][+-]?\d+)?)\s*seconds"
+WALL = r"\[Wall time\]\s*([0-9.]+(?:[eE][+-]?\d+)?)\s*seconds"
 ROWS, FEATURES = r"\|D\|\s*=\s*(\d+)", r"\bn\s*=\s*(\d+)"
-ALL_SCORES = r"\|\s*(-?\d+(?:\.\d+)?)"
+ALL_SCORES = r"\|\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 #: The order in which heuristics are shown.
 HEURISTICS = ("lp", "ls", "rd", "sls", "exp")
 
@@ -141,6 +141,23 @@ def mean_ari(per_group: DataFrame, keys: list[str]) -> DataFrame:
     return per_group.groupBy(*keys).agg(F.avg("mean_ari").alias("mean"), F.stddev_samp("mean_ari").alias("std"))
 
 
+def ari_levels(per_group: DataFrame) -> DataFrame:
+    """``level, data, heuristic, mean, std``: over the groups of a data set and heuristic, and of a heuristic."""
+    levels = [mean_ari(per_group, keys).select(F.lit("_".join(keys)).alias("level"), (F.col("data") if "data" in keys else F.lit(None).cast("string")).alias("data"), "heuristic", "mean", "std") for keys in (["data", "heuristic"], ["heuristic"])]
+    return levels[0].unionByName(levels[1])
+
+
+def log_text(runs: DataFrame, labels: str) -> DataFrame:
+    """``file, text``: runs as the logs from which ``parse_logs`` reads them; ``labels`` is the solution as text (``1;0;-1``)."""
+    line = lambda head, c, tail="": F.concat(F.lit(head), F.col(c).cast("string"), F.lit(f"{tail}\n"))
+    present = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    finite = runs.withColumns({c: present(c) for c in ("cpu_time", "wall_time", "best_score")})
+    scores = F.array_join(F.transform("all_bar_scores", lambda x: F.concat(F.lit("| "), x.cast("string"))), "\n")
+    solution = F.concat(F.lit("[best solution]: ["), F.col(labels), F.lit("] | "), F.col("best_score").cast("string"), F.lit("\n"))
+    text = F.concat_ws("", F.concat(F.lit("LOADED "), F.col("data"), F.lit(" ")), F.concat(F.lit("|D|= "), F.col("D").cast("string"), F.lit("  ")), line("n= ", "n"), line("[CPU time] ", "cpu_time", " seconds"), line("[Wall time] ", "wall_time", " seconds"), solution, scores)
+    return finite.select("file", text.alias("text"))
+
+
 def log_scale(df: DataFrame, value: str) -> DataFrame:
     """``log``: whether a chart of the values needs a logarithmic scale: all positive and over a range of 50."""
     return df.agg(F.coalesce((F.min(value) > 0) & (F.try_divide(F.max(value), F.min(value)) >= 50), F.lit(False)).alias("log"))
@@ -177,6 +194,24 @@ def average_times(results: DataFrame, order: list[str]) -> DataFrame:
     return results.groupBy("database", "label").agg(*first, *(F.avg(F.col(f"`{t}`")).alias(t) for t in times))
 
 
+def assert_columns(df: DataFrame, needed: list[str]) -> DataFrame:
+    """``df`` with names in lower case and without surrounding blanks; raises if one of ``needed`` is missing."""
+    named = df.toDF(*(c.strip().lower() for c in df.columns))
+    missing = [c for c in needed if c.strip().lower() not in named.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return named
+
+
+def collection_row(spark, run: int, pushdown: bool, database: str, counts: dict[str, float | int | None], times: dict[str, float]) -> DataFrame:
+    """One row of run results in the order of the published table; ``ratio_prop_dropped`` from ``n_all`` and ``n_kept``."""
+    whole, kept = counts["n_all"], counts["n_kept"]
+    phases = ("time_Preprocessing", "time_Cardinalities", "time_Indicators", "time_Validation")
+    row = (run, pushdown, database, counts["N"], counts["E"], counts["label"], kept, counts["nodes"], counts["avgLabelProp"], *(times[t] for t in phases), sum(times[t] for t in phases), 100.0 * (whole - kept) / whole if whole else None)
+    names = "run int, pushdown boolean, database string, N long, E long, label string, `indicators#` int, `nodes#` long, avgLabelProp double, " + ", ".join(f"{t} double" for t in phases) + ", time_total double, ratio_prop_dropped double"
+    return spark.createDataFrame([row], names)
+
+
 def melted_means(results: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``*keys, metric, value``: means, one row per metric; groups without a value have a null."""
     return results.groupBy(*keys).agg(*(F.avg(F.col(f"`{v}`")).alias(v) for v in values)).unpivot(keys, values, "metric", "value")
@@ -198,3 +233,11 @@ def pushdown_grid(spark, runs: int, ratios: tuple[float, ...] = (0.1, 0.3, 0.5,
     return spark.createDataFrame([(p, x, r) for p in (False, True) for x in ratios for r in range(runs)], "pushdown boolean, null_ratio double, run int")
 
 
+def run_experiments(grid: DataFrame, run, done: DataFrame | None = None, seed: int = 0):
+    """``run(data, heuristic, k, run)`` for each configuration of the grid that ``done`` does not hold, in a seeded random order.
+
+    Yields (configuration, result); an experiment is itself distributed, so they run one after the other."""
+    keys = ["data", "heuristic", "k", "run"]
+    left = grid.join(done.select(keys).distinct(), keys, "left_anti") if done is not None else grid
+    for row in left.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).toLocalIterator():
+        yield tuple(row), run(*row)

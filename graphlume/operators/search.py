@@ -1,7 +1,8 @@
 """Search for the partition of indicators into clustering (-1), unused (0) and comparison (1).
 
-The search state is a tuple on the driver; each candidate is clustered and scored by
-distributed jobs over the cached matrix. Scores are kept by solution, so none is solved twice.
+The search state is a tuple on the driver; candidates of one step are clustered and scored
+together (k-means) or one after the other (other kernels) by distributed jobs over the written
+matrix. Scores are kept by solution, so none is solved twice.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from graphlume.operators import kernels, metrics
+from graphlume.session import cut
 
 Solution = tuple[int, ...]
+#: Solutions that are scored in the same jobs.
+TOGETHER = 100
 
 
 def feasible(solution: Solution) -> bool:
@@ -69,7 +73,7 @@ class Problem:
     solved: dict[Solution, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.df = self.df.select(self.key, *(f"`{c}`" for c in self.columns)).persist()
+        self.df = cut(self.df.select(self.key, *(f"`{c}`" for c in self.columns)))
 
     def labels(self, solution: Solution) -> DataFrame:
         return kernels.cluster(self.df, self.key, mask(solution, self.columns, -1), mask(solution, self.columns, 1), self.k, self.method, self.seed)
@@ -83,6 +87,18 @@ class Problem:
             self.solved[solution] = float(found["objective"])
         return self.solved[solution]
 
+    def solve(self, solutions: list[Solution]) -> None:
+        """Score several solutions in the same jobs."""
+        new = [s for s in dict.fromkeys(solutions) if feasible(s) and s not in self.solved]
+        if self.method != "kmeans":
+            new = []  # scored one after the other when they are asked for
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            sets, compared = [mask(s, self.columns, -1) for s in part], [mask(s, self.columns, 1) for s in part]
+            labelled = kernels.kmeans_many(self.df, self.key, self.columns, sets, self.k, seed=self.seed)
+            for r in kernels.objective_many(labelled, self.columns, sets, compared).collect():  # one row per solution
+                self.solved[part[r["at"]]] = float(r["objective"])
+
     def both(self, solution: Solution) -> tuple[float, float]:
         """The two objectives: comparison and clustering sums."""
         labelled = self.df.join(self.labels(solution), self.key)
@@ -91,20 +107,29 @@ class Problem:
 
 
 def exhaustive(problem: Problem, max_depth: int = 9) -> tuple[Solution, float]:
-    """All solutions whose first ``max_depth`` indicators vary, deeper nodes first; ties to the first found."""
+    """All solutions whose first ``max_depth`` indicators vary, deeper nodes first; ties to the first found.
+
+    Solutions are scored together, ``TOGETHER`` at a time, in the order in which they are found."""
     heap, count, seen = [(0, 0, Node.root(len(problem.columns)))], 0, set()
+    waiting: list[Solution] = []
     best: tuple[Solution, float] = ((0,) * len(problem.columns), float("-inf"))
-    while heap:
-        _, _, node = heapq.heappop(heap)
-        if node.solution not in seen:
-            seen.add(node.solution)
-            value = problem.score(node.solution)
-            if value > best[1]:
-                best = (node.solution, value)
-        if node.depth < max_depth:
-            for child in node.branch():
-                count += 1
-                heapq.heappush(heap, (-child.depth, count, child))
+    while heap or waiting:
+        if heap:
+            _, _, node = heapq.heappop(heap)
+            if node.solution not in seen:
+                seen.add(node.solution)
+                waiting.append(node.solution)
+            if node.depth < max_depth:
+                for child in node.branch():
+                    count += 1
+                    heapq.heappush(heap, (-child.depth, count, child))
+        if len(waiting) >= TOGETHER or not heap:
+            problem.solve(waiting)
+            for solution in waiting:
+                value = problem.score(solution)
+                if value > best[1]:
+                    best = (solution, value)
+            waiting = []
     return best
 
 
@@ -168,6 +193,7 @@ def local_search(problem: Problem, start: Solution, steps: int = 200) -> tuple[S
         options = [s for s in moves(best[0]) if s not in seen]
         if not options:
             break
+        problem.solve(options)
         found = max(options, key=problem.score)
         if problem.score(found) < best[1]:
             break

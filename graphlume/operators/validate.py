@@ -56,6 +56,19 @@ def process(df: DataFrame, null_thresh: float = 0.3, distinct_low: float = 0.02,
     return coerced.select(*(f"`{c}`" for c in kept)), df.sparkSession.createDataFrame(report, REPORT)
 
 
+def text_as_ranks(df: DataFrame) -> DataFrame:
+    """Columns that hold other texts than numbers as the ranks of their texts (equal ones alike); the first column, the id, stays."""
+    first, *rest = df.columns
+    texts = [c for c in rest if dict(df.dtypes)[c] == "string"]
+    if texts:
+        other = df.agg(*(F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(f"n{i}") for i, c in enumerate(texts))).first()
+        for i, c in enumerate(texts):
+            if other[f"n{i}"]:
+                placed = ranks(df.select(F.col(f"`{c}`").alias("v")), [], "v")
+                df = salted_join(df, placed.select(F.col("v").alias(c), F.col("rank").alias("_rank")), [c], first, "left").withColumn(c, F.col("_rank")).drop("_rank")
+    return df.select(*(f"`{c}`" for c in [first, *rest]))
+
+
 def _pearson(a: Column, b: Column) -> Column:
     """Pearson over rows where both are present; null where either is constant."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
@@ -128,6 +141,14 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.where(condition)
 
 
+def null_row_counts(df: DataFrame) -> DataFrame:
+    """``n_before, n_after``: rows in all and rows without a null."""
+    whole = F.lit(True)
+    for c in df.columns:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    return df.agg(F.count("*").alias("n_before"), F.count_if(whole).alias("n_after"))
+
+
 def percentile_scale(df: DataFrame, key: str, column: str) -> DataFrame:
     """``key, column, scaled``: (average rank - 1) / (n - 1) of present values; 0.5 for a single or constant value; null stays."""
     x = as_number(column)

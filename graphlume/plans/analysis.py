@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlume.operators import context, insights, kernels, metrics, search, validate
-from graphlume.plans.base import query, r, trade
-from graphlume.plans.collection import indicator_table_nations
+from graphlume.operators import collect, context, insights, kernels, metrics, search, validate
+from graphlume.plans.base import MANY_TO_ONE, query, r, trade
 from graphlume.session import cut, table
 
 NUMBERS = ["Airport_latitude", "Airport_altitude", "City_population", "Country_infant_mortality", "Country_physicians", "ROUTE_TO__rel__avg_distance", "ROUTE_TO__neighbor__sum_runways"]
@@ -62,10 +63,21 @@ def suffix_drop_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.drop_suffixes(loads(spark, d), ["physicians", "_runways", "outid"])[1]
 
 
-@query(f"""with t as ({_CLEAN}) select outid, "Airport_latitude", "City_population" from t where outid is not null and "Airport_latitude" is not null and "City_population" is not null""")
+_WHOLE = " and ".join(f'"{c}" is not null' for c in NUMBERS)
+
+
+def _nan_as_null(spark: SparkSession, d: str) -> DataFrame:
+    return loads(spark, d).select("outid", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in NUMBERS))
+
+
+@query(f"with t as ({_CLEAN}) select outid, {', '.join(f'"{c}"' for c in NUMBERS)} from t where outid is not null and {_WHOLE}")
 def drop_null_rows(spark: SparkSession, d: str) -> DataFrame:
-    kept = table(spark, d, "node_indicators").dropDuplicates(["outid", "load_day"]).select("outid", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("Airport_latitude", "City_population")))
-    return validate.drop_null_rows(kept)
+    return validate.drop_null_rows(_nan_as_null(spark, d))
+
+
+@query(f"with t as ({_CLEAN}) select count(*) as n_before, count(*) filter (where outid is not null and {_WHOLE}) as n_after from t")
+def null_row_counts(spark: SparkSession, d: str) -> DataFrame:
+    return validate.null_row_counts(_nan_as_null(spark, d))
 
 
 @query("""with k as (select p_retailprice, rank() over (order by p_retailprice) as k, count(*) over (partition by p_retailprice) as c, count(*) over () as n, p_partkey from part)
@@ -92,7 +104,7 @@ def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # metrics
 
-_FEATURES = ["Country_physicians", "Airport_altitude", "Airport_latitude"]
+_FEATURES = NUMBERS
 _LONG = f"with t as ({_CLEAN}), l as (" + " union all ".join(f"""select '{c}' as feature, "{c}" as x from t where "{c}" is not null""" for c in _FEATURES) + ")"
 _BC = """, m as (select feature, avg(x) as m, count(*) as n from l group by 1), z as (select l.feature, n, avg((x - m) ** 2) as m2, avg((x - m) ** 3) as m3, avg((x - m) ** 4) as m4 from l join m using (feature) group by 1, 2),
   bc as (select feature, n, case when n < 5 then null when m2 = 0 then 0 else (m3 * m3 / (m2 ** 3) + 1) / (m4 / (m2 * m2)) end as bc from z)"""
@@ -121,11 +133,6 @@ def feature_categories_ranked(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ranked_categories(metrics.unpivoted(loads(spark, d), _FEATURES), 1, 1).withColumns({"bc": r("bc"), "cv": r("cv", 5)})
 
 
-@query(_LONG + _BC + _CV + """, s as (select feature, stddev_pop(x) / avg(x) as v from l group by 1) select feature, round(v, 6) as cv_values, round(cv, 5) as cv_gaps, round(bc, 6) as bc from bc join cv using (feature) join s using (feature)""")
-def metric_table(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.metric_table(loads(spark, d), _FEATURES).withColumns({"cv_values": r("cv_values"), "cv_gaps": r("cv_gaps", 5), "bc": r("bc")})
-
-
 _KNN = """with p as (select p_partkey as id, p_size::double as f0, p_retailprice as f1 from part), d as (select a.id as a, b.id as b, row_number() over (partition by a.id order by (a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2, b.id) as k from p a join p b on a.id <> b.id),
   e as (select a, b from d where k <= 5 union select b, a from d where k <= 5), deg as (select a as id, count(*) as g from e group by 1), l as (select id, 'p_size' as feature, f0 as x from p union all select id, 'p_retailprice', f1 from p),
   m as (select feature, sum(x * g) / sum(g) as m from l join deg using (id) group by 1), w as (select feature, sum((x - m) ** 2 * g) as w from l join deg using (id) join m using (feature) group by 1),
@@ -137,15 +144,26 @@ def laplacian_scores(spark: SparkSession, d: str) -> DataFrame:
     return metrics.laplacian_scores(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]).withColumn("score", r("score"))
 
 
-def _nations(spark: SparkSession, d: str) -> DataFrame:
-    """A small indicator table (one row per nation), scaled to 0..1."""
-    found = indicator_table_nations(spark, d)
+_STANDARD = _KNN.replace("select p_partkey as id, p_size::double as f0, p_retailprice as f1 from part", "select p_partkey as id, (p_size - avg(p_size) over ()) / stddev_pop(p_size) over () as f0, (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over () as f1 from part")
+_RAW = ", raw as (select 'p_size' as feature, p_size::double as x from part union all select 'p_retailprice', p_retailprice from part)"
+
+
+@query(_STANDARD + _RAW + (_BC + _CV).replace("from l ", "from raw ").replace("from l)", "from raw)").replace(" l.feature", " raw.feature").replace("from l join m", "from raw join m").replace(", m as (", ", mm as (").replace("join m using", "join mm using").replace("as m, count(*) as n from raw", "as m, count(*) as n from raw") + """, sd as (select feature, stddev_pop(x) / avg(x) as v from raw group by 1)
+  select feature, round(v, 6) as cv_values, round(cv, 5) as cv_gaps, round(bc, 6) as bc, round(q / w, 6) as laplacian from bc join cv using (feature) join sd using (feature) join q using (feature) join w using (feature)""")
+def metric_table(spark: SparkSession, d: str) -> DataFrame:
+    found = metrics.metric_table(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    return found.withColumns({"cv_values": r("cv_values"), "cv_gaps": r("cv_gaps", 5), "bc": r("bc"), "laplacian": r("laplacian")})
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    """The indicator table of the customers with orders, scaled to 0..1: it grows with the data."""
+    found = validate.drop_null_rows(collect.indicators(trade(spark, d), "customer", MANY_TO_ONE, ["PLACED_BY"]))
     return cut(validate.minmax_scale(found, "outid", found.columns[1:]))
 
 
 @query()
 def knee_split(spark: SparkSession, d: str) -> DataFrame:
-    small = _nations(spark, d)
+    small = _customers(spark, d)
     columns = small.columns[1:]
     return metrics.knee_split(metrics.laplacian_scores(small, "outid", columns), metrics.gap_cv(metrics.unpivoted(small, columns)))
 
@@ -157,7 +175,7 @@ def dip_statistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def column_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    small = _nations(spark, d)
+    small = _customers(spark, d)
     return metrics.column_groups(metrics.gap_cv(metrics.unpivoted(small, small.columns[1:])), "cv", 2)
 
 
@@ -240,7 +258,7 @@ def co_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, method: str, kernel: str = "kmeans") -> DataFrame:
-    small = _nations(spark, d)
+    small = _customers(spark, d)
     columns = small.columns[1:]
     problem = search.Problem(small, "outid", columns, 2, kernel)
     solution, score = search.search(problem, method)
@@ -274,13 +292,13 @@ def search_exhaustive(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_medoids(spark: SparkSession, d: str) -> DataFrame:
-    small = _nations(spark, d)
+    small = _customers(spark, d)
     return kernels.cluster(small, "outid", small.columns[1:3], small.columns[3:], 3, "fcm2")
 
 
 @query()
 def cluster_dual_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    small = _nations(spark, d)
+    small = _customers(spark, d)
     return kernels.cluster(small, "outid", small.columns[1:3], small.columns[3:], 3, "fcm")
 
 
@@ -336,29 +354,31 @@ def radar_scaled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", r(insights.radar(F.col("p_retailprice"), F.lit(1000.0), F.lit(1500.0)), 9).alias("scaled"))
 
 
-@query("select p_size % 4 as label, count(*) as n from part group by 1")
+@query(_TOP + """, t as (select p_size % 4 as label, count(*) as n from part group by 1) select 'ranges' as name, 2 as n_rows, round((select min(p_size) + max(p_size) + min(p_retailprice) + max(p_retailprice) from part), 3) as total
+  union all select 'tightest', count(*), round(sum(n), 3) from t union all select 'pairs', count(*), round(sum(score), 3) from k union all select 'side_by_side', 2 * count(*), round(sum(score), 3) from k""")
 def insights_all(spark: SparkSession, d: str) -> DataFrame:
-    """All insight tables of the parts; the answer counts, for each cluster, the rows its tightest features rest on."""
-    parts = _parts(spark, d)
-    found = insights.extract(parts, table(spark, d, "part"), "p_partkey", ["p_retailprice"], ["p_size", "p_retailprice"], top=1)
-    return found["tightest"].join(found["pairs"].select("label").distinct(), "label", "left_semi").select("label", "n")
+    """All insight tables of the parts, each by its rows and the sum of its numbers: range ends, rows that features rest on, scores, and differences by feature."""
+    found = insights.extract(_parts(spark, d), table(spark, d, "part"), "p_partkey", ["p_retailprice"], ["p_size", "p_retailprice"], top=2)
+    numbers = {"ranges": F.col("lo") + F.col("hi"), "tightest": F.col("n"), "pairs": F.col("score"), "side_by_side": F.col("diff")}
+    parts = [found[name].agg(F.count("*").cast("int").alias("n_rows"), r(F.sum(x).cast("double"), 3).alias("total")).select(F.lit(name).alias("name"), "n_rows", "total") for name, x in numbers.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""with o as (select * from orders where o_orderkey = 1), l as (select distinct * from lineitem where l_orderkey = 1), c as (select * from customer where c_custkey in (select o_custkey from o)), n as (select * from nation where n_nationkey in (select c_nationkey from c)),
   g as (select * from region where r_regionkey in (select n_regionkey from n)), p as (select * from part where p_partkey in (select l_partkey from l)), s as (select * from supplier where s_suppkey in (select l_suppkey from l)), x as (
-  select 'node' as type, '' as source, 'orders' as label, unnest(['o_totalprice', 'o_orderstatus', 'o_orderpriority']) as property, unnest([o_totalprice::varchar, o_orderstatus, o_orderpriority]) as value from o union all
+  select 'node' as type, '' as source, 'orders' as label, unnest(['o_totalprice', 'o_orderstatus', 'o_orderpriority', 'o_orderdate']) as property, unnest([o_totalprice::varchar, o_orderstatus, o_orderpriority, o_orderdate::varchar]) as value from o union all
   select 'node', 'PLACED_BY', 'customer', unnest(['c_name', 'c_acctbal', 'c_mktsegment']), unnest([c_name, c_acctbal::varchar, c_mktsegment]) from c union all
   select 'node', 'PLACED_BY/customer/CUST_IN', 'nation', 'n_name', n_name from n union all select 'node', 'PLACED_BY/customer/CUST_IN/nation/IN_REGION', 'region', 'r_name', r_name from g union all
   select 'node', 'CONTAINS', 'part', unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']), unnest([p_name, p_brand, p_type, p_size::varchar, p_retailprice::varchar]) from p union all
   select 'node', 'SUPPLIED_BY', 'supplier', unnest(['s_name', 's_acctbal']), unnest([s_name, s_acctbal::varchar]) from s union all
   select 'edge', t, t, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']), unnest([l_quantity::varchar, l_extendedprice::varchar, l_discount::varchar, l_tax::varchar]) from (select distinct l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, 'CONTAINS' as t from l union all
-  select distinct l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, 'SUPPLIED_BY' from l)) select type, source, label, property, count(*) as n from x where value is not null group by all""")
+  select distinct l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, 'SUPPLIED_BY' from l)) select type, source, label, property, value from x where value is not null""")
 def node_context(spark: SparkSession, d: str) -> DataFrame:
-    """The context of one order, counted by provenance and property."""
-    found = context.node_context(trade(spark, d), "orders", 1, ["PLACED_BY", "CUST_IN", "IN_REGION"]).where("property != 'o_orderdate'")
-    return found.groupBy("type", F.array_join("source", "/").alias("source"), "label", "property").agg(F.count("*").alias("n"))
+    """The context of one order, with the value of each property."""
+    found = context.node_context(trade(spark, d), "orders", 1, ["PLACED_BY", "CUST_IN", "IN_REGION"])
+    return found.withColumn("source", F.array_join("source", "/"))
 
 
-@query()
+@query("select c_custkey as id from customer order by md5('7:' || c_custkey), c_custkey limit 1")
 def pick_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return context.pick_node(trade(spark, d), "customer", seed=7)

@@ -117,6 +117,23 @@ def indicator_table_orders(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*(r(c, 4 if c.endswith("extendedprice") else 6).alias(c) if "__" in c else F.col(c) for c in found.columns))
 
 
+def placed(spark: SparkSession, d: str) -> PropertyGraph:
+    """Orders, customers and nations, with properties on the many-to-one edges between them."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    by = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), "o_totalprice")
+    lives = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), (F.col("c_custkey") * 2).cast("double").alias("since"))
+    return PropertyGraph({"orders": orders, "customer": customers, "nation": nations}, [Edges("PLACED_BY", "orders", "customer", by), Edges("LIVES_IN", "customer", "nation", lives)])
+
+
+@query("""select o_orderkey as outid, o_totalprice as "PLACED_BY_o_totalprice", c_acctbal as customer_c_acctbal, c_custkey * 2.0 as "LIVES_IN_since", c_acctbal as "PLACED_BY__neighbor__avg_c_acctbal", o_totalprice as "PLACED_BY__rel__avg_o_totalprice"
+  from orders left join customer on o_custkey = c_custkey""")
+def indicator_table_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Indicators with those of the many-to-one edges: one row per node."""
+    return collect.indicators(placed(spark, d), "orders", ["PLACED_BY", "LIVES_IN"], ["PLACED_BY"])
+
+
 @query("""with c as (select c_nationkey k, count(*) n from customer group by 1), s as (select s_nationkey k, count(*) n from supplier group by 1),
   ca as (select c_nationkey k, round(avg(c_acctbal), 6) a from customer group by 1), sa as (select s_nationkey k, round(avg(s_acctbal), 6) a from supplier group by 1)
   select n_nationkey::bigint as outid, ca.a as "CUST_IN__neighbor__avg_c_acctbal", sa.a as "SUPP_IN__neighbor__avg_s_acctbal", coalesce(c.n, 0) as "CUST_IN", coalesce(s.n, 0) as "SUPP_IN"
@@ -238,10 +255,9 @@ def schema_hops_directed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with recursive e as (select * from {_SCHEMA}), n as (select 'L:' || a as x, 'R:' || t as y from e union select 'R:' || t, 'L:' || a from e union select 'L:' || b, 'R:' || t from e union select 'R:' || t, 'L:' || b from e),
   w(x, h) as (select 'L:supplier', 0 union select n.y, h + 1 from w join n on n.x = w.x where h < 14), near as (select x, min(h) as h from w group by 1)
-  select case when x like 'L:%' then 'label' else 'relationship' end as kind, x[3:] as name, case when x like 'L:%' then h // 2 else (h + 1) // 2 end as hops from near where x[3:] in ('customer', 'part', 'CONTAINS', 'region', 'IN_REGION')""")
+  select case when x like 'L:%' then 'label' else 'relationship' end as kind, x[3:] as name, case when x like 'L:%' then h // 2 else (h + 1) // 2 end as hops from near""")
 def schema_distance_bipartite(spark: SparkSession, d: str) -> DataFrame:
-    found = hops.hops_table(spark, hops.schema_distances(_triples(spark, d), "supplier"))
-    return found.where(F.col("name").isin("customer", "part", "CONTAINS", "region", "IN_REGION"))
+    return hops.hops_table(spark, hops.schema_distances(_triples(spark, d), "supplier"))
 
 
 @query(f"""with t as ({_ORDERS}) select outid, orders_o_totalprice, round(customer_c_acctbal / 2, 6) as customer_c_acctbal, round("CONTAINS__neighbor__avg_p_size" / 2, 8) as "CONTAINS__neighbor__avg_p_size",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,26 +11,8 @@ from graphlume.functions.text import element_name, ends_with_any, finite, merge_
 from graphlume.operators import collect, packed, runlog, search, validate
 from graphlume.plans.base import query, r, trade
 from graphlume.plans.collection import indicator_table_nations
-from graphlume.session import table
-
-_LOGS = [
-    ("petals_sls_3_0.log", "LOADED petals |D|= 150  n= 4\n[best solution]: [-1;0;1;1] | 12.5\n| 3.25\n| -1.5\n[CPU time] 1.25 seconds\n[Wall time] 2.5 seconds\n"),
-    ("soccer_rd_2_7.log", "LOADED soccer |D|= 2240  n= 3\n[best solution]: [1;-1;0] | -7\n[CPU time] 0.5 seconds\n[Wall time] 0.75 seconds\n"),
-    ("airports_exp_4_1.log", "LOADED airports |D|= 10  n= 2\nno solution\n"),
-    ("notes.txt", "[best solution]: [1] | 1"),
-]
-_VALUES = ", ".join("('{}', '{}')".format(a, b.replace("\n", "\\n")) for a, b in _LOGS)
-
-
-@query(f"""with l as (select f, replace(t, '\\n', chr(10)) as t from (values {_VALUES}) v(f, t)), m as (select *, regexp_extract(f, '^([a-zA-Z0-9_-]+)_(lp|ls|rd|sls|exp)_([0-9]+)_([0-9]+)\\.log$', ['a', 'b', 'c', 'd']) as x from l where regexp_matches(f, '^([a-zA-Z0-9_-]+)_(lp|ls|rd|sls|exp)_([0-9]+)_([0-9]+)\\.log$'))
-  select x.a as data, x.b as heuristic, x.c::int as k, x.d::int as run, try_cast(nullif(regexp_extract(t, '\\|D\\|\\s*=\\s*([0-9]+)', 1), '') as int) as "D", try_cast(nullif(regexp_extract(t, '\\bn\\s*=\\s*([0-9]+)', 1), '') as int) as n,
-  try_cast(nullif(regexp_extract(t, '\\[CPU time\\]\\s*([0-9.]+)\\s*seconds', 1), '') as double) as cpu_time, try_cast(nullif(regexp_extract(t, '\\[Wall time\\]\\s*([0-9.]+)\\s*seconds', 1), '') as double) as wall_time,
-  try_cast(nullif(regexp_extract(t, '\\[best solution\\][^\\|]*\\|\\s*(-?[0-9]+(\\.[0-9]+)?)', 1), '') as double) as best_score,
-  nullif(replace(regexp_extract(t, '\\[best solution\\]\\s*:\\s*\\[([^\\]]+)\\]', 1), ';', ','), '') as clusters, array_to_string(list_transform(regexp_extract_all(t, '\\|\\s*(-?[0-9]+(\\.[0-9]+)?)', 1), lambda s: s::double::varchar), ',') as scores from m""")
-def log_parse(spark: SparkSession, d: str) -> DataFrame:
-    found = runlog.parse_logs(spark.createDataFrame(_LOGS, "file string, text string"))
-    return found.select(*found.columns[:9], F.array_join(F.transform("clusters", lambda x: x.cast("string")), ",").alias("clusters"), F.array_join(F.transform("all_bar_scores", lambda x: x.cast("string")), ",").alias("scores"))
-
+from graphlume.session import shared_folder, table
+from graphlume.sources import files
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "solver_logs").dropDuplicates(["log_id"])
@@ -57,27 +41,50 @@ def score_range_position(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({"mean_best": r("mean_best", 5), "std_best": r("std_best", 5), "position": r("position"), "std_norm": r("std_norm")})
 
 
-_SOL = r"""s as (select *, list_transform(regexp_extract_all(clusters, '-?[01]'), lambda x: x::int) as v from l where regexp_full_match(clusters, '\[-?[01](;-?[01])*\]'))"""
+@query(f"""with {_L}, t as (select *, regexp_extract_all(translate(clusters, '−–﹣－', '----'), '-?[01]') as v from l where regexp_matches(file, '^([a-zA-Z0-9_-]+)_(lp|ls|rd|sls|exp)_([0-9]+)_([0-9]+)\\.log$'))
+  select data, heuristic, k, run, "D", n, {_FIN.format('cpu_time')} as cpu_time, {_FIN.format('wall_time')} as wall_time, case when len(v) > 0 then {_FIN.format('best_score')} * 1e9 end as best_score, case when len(v) > 0 and best_score is not null then array_to_string(v, ',') end as clusters,
+  len(all_bar_scores) + (case when len(v) > 0 and best_score is not null then 1 else 0 end) as n_scores from t""")
+def log_parse(spark: SparkSession, d: str) -> DataFrame:
+    """The runs written as logs, scores with exponents, and read again."""
+    minus = F.translate("clusters", "−–﹣－", "----")
+    runs = _runs(spark, d).withColumn("v", F.nullif(F.array_join(F.regexp_extract_all(minus, F.lit("(-?[01])"), F.lit(1)), ";"), F.lit("")))
+    found = runlog.parse_logs(runlog.log_text(runs.withColumn("best_score", F.col("best_score") * 1e9), "v"))
+    return found.select(*found.columns[:9], F.array_join(F.transform("clusters", lambda x: x.cast("string")), ",").alias("clusters"), F.size("all_bar_scores").alias("n_scores"))
 
 
-@query(f"""with {_L}, {_SOL}, p as (select a.data, a.heuristic, a.k, a.v as x, b.v as y, a.log_id as i, b.log_id as j, len(a.v) as n from s a join s b on a.data = b.data and a.heuristic = b.heuristic and a.k = b.k and a.log_id < b.log_id and len(a.v) = len(b.v)),
+_SOL = r"""b as (select *, rtrim(regexp_replace(trim(regexp_replace(translate(clusters, '−–﹣－', '----'), '["''\[\](){}<>+]', '', 'g'), e' \n\r\t'), '[ \n\r]*[,;|/\t][ \n\r]*|[ \n\r]+', ';', 'g'), ';') as c from l where trim(clusters, e' \n\r\t') <> ''),
+  s as (select *, list_transform(string_split(c, ';'), lambda x, i: case when x = '' then '?' || i else x end) as v from b where c <> '')"""
+_ARI = f"""with {_L}, {_SOL}, p as (select a.data, a.heuristic, a.k, a.v as x, b.v as y, a.log_id as i, b.log_id as j, len(a.v) as n from s a join s b on a.data = b.data and a.heuristic = b.heuristic and a.k = b.k and a.log_id < b.log_id and len(a.v) = len(b.v)),
   e as (select data, heuristic, k, i, j, n, unnest(x) as x, unnest(y) as y from p), cell as (select data, heuristic, k, i, j, n, x, y, count(*) as c from e group by all), ra as (select i, j, x, sum(c) as c from cell group by all), rb as (select i, j, y, sum(c) as c from cell group by all),
   t as (select data, heuristic, k, i, j, n, sum(c * (c - 1) / 2) as cc from cell group by all), u as (select i, j, sum(c * (c - 1) / 2) as rr from ra group by all), w as (select i, j, sum(c * (c - 1) / 2) as ss from rb group by all),
-  f as (select data, heuristic, k, case when n <= 1 or (rr + ss) / 2 - rr * ss / (n * (n - 1) / 2) = 0 then 1 else (cc - rr * ss / (n * (n - 1) / 2)) / ((rr + ss) / 2 - rr * ss / (n * (n - 1) / 2)) end as ari from t join u using (i, j) join w using (i, j))
-  select data, heuristic, k, count(*) as pairs, round(avg(ari), 6) as mean_ari from f group by 1, 2, 3""")
-def ari_pairs(spark: SparkSession, d: str) -> DataFrame:
+  f as (select data, heuristic, k, case when n <= 1 or (rr + ss) / 2 - rr * ss / (n * (n - 1) / 2) = 0 then 1 else (cc - rr * ss / (n * (n - 1) / 2)) / ((rr + ss) / 2 - rr * ss / (n * (n - 1) / 2)) end as ari from t join u using (i, j) join w using (i, j)),
+  g as (select data, heuristic, k, count(*) as pairs, avg(ari) as mean_ari from f group by 1, 2, 3)"""
+
+
+def _agreement(spark: SparkSession, d: str) -> DataFrame:
     """In every notation; an entry left empty keeps its position and equals no other entry, so it is a label of its own."""
     runs = _runs(spark, d)
     entries = packed.split_packed(runs, "log_id", "clusters", integers=True)
     label = F.when(F.col("val") == "", F.concat(F.lit("?"), F.col("pos"))).otherwise(F.col("val"))
     vectors = entries.groupBy(F.col("row_key").alias("log_id")).agg(F.array_sort(F.collect_list(F.struct("pos", label.alias("val"))))["val"].alias("v"))
     solved = runs.select("log_id", "data", "heuristic", "k").join(vectors, "log_id")
-    return runlog.ari_pairs(solved, ["data", "heuristic", "k"], "log_id", "v").withColumn("mean_ari", r("mean_ari"))
+    return runlog.ari_pairs(solved, ["data", "heuristic", "k"], "log_id", "v")
+
+
+@query(_ARI + " select data, heuristic, k, pairs, round(mean_ari, 6) as mean_ari from g")
+def ari_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _agreement(spark, d).withColumn("mean_ari", r("mean_ari"))
 
 
-@query()
+@query(_ARI + " select heuristic, round(avg(mean_ari), 6) as mean, round(stddev_samp(mean_ari), 6) as std from g group by 1")
 def ari_by_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.mean_ari(ari_pairs(spark, d), ["heuristic"]).withColumns({"mean": r("mean"), "std": r("std")})
+    return runlog.mean_ari(_agreement(spark, d), ["heuristic"]).withColumns({"mean": r("mean"), "std": r("std")})
+
+
+@query(_ARI + """ select 'data_heuristic' as level, data, heuristic, round(avg(mean_ari), 6) as mean, round(stddev_samp(mean_ari), 6) as std from g group by data, heuristic
+  union all select 'heuristic', null, heuristic, round(avg(mean_ari), 6), round(stddev_samp(mean_ari), 6) from g group by heuristic""")
+def ari_levels(spark: SparkSession, d: str) -> DataFrame:
+    return runlog.ari_levels(_agreement(spark, d)).withColumns({"mean": r("mean"), "std": r("std")})
 
 
 _R = "r as (select distinct on (result_id) * from run_results order by result_id)"
@@ -99,6 +106,17 @@ def avg_time_by_label(spark: SparkSession, d: str) -> DataFrame:
     return runlog.average_times(small, ["result_id"]).withColumns({"time_Indicators": r("time_Indicators"), "time_total": r("time_total")})
 
 
+_TIMES = ["N", "E", "time_Cardinalities", "time_Indicators", "time_Validation", "time_total"]
+
+
+@query(f"""with {_R}, w as (select {', '.join(f'"{t}"' for t in _TIMES)} from r where {' and '.join(f'"{t}" is not null and not isnan("{t}"::double)' for t in _TIMES)}), k as (select {', '.join(f'rank() over (order by "{t}") + (count(*) over (partition by "{t}") - 1) / 2 as "{t}"' for t in _TIMES)} from w),
+  p as ({' union all '.join(f"""select '{a}' as a, '{b}' as b, corr("{a}", "{b}") as x from k""" for i, a in enumerate(_TIMES) for b in _TIMES[i + 1 :])}) select a, b, round(x, 6) as r from p""")
+def spearman_times(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of sizes and times over the run results."""
+    needed = runlog.assert_columns(_results(spark, d), _TIMES)
+    return validate.spearman_pairs(needed.select(*(F.col(t.lower()).alias(t) for t in _TIMES)), _TIMES).withColumn("r", r("r"))
+
+
 @query(f"""with {_R}, m as (select database, avg("time_Indicators") as a, avg("time_Validation") as b from r group by 1) select database, unnest(['time_Indicators', 'time_Validation']) as metric, unnest([round(a, 6), round(b, 6)]) as value from m""")
 def mean_melt(spark: SparkSession, d: str) -> DataFrame:
     return runlog.melted_means(_results(spark, d), ["database"], ["time_Indicators", "time_Validation"]).withColumn("value", r("value"))
@@ -254,23 +272,41 @@ def semi_and_suffix(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("outid"), "o_totalprice")
 
 
-@query()
+@query("""with c as (select n_nationkey, avg(c_acctbal) as a from nation left join customer on c_nationkey = n_nationkey group by 1), s as (select n_nationkey, avg(s_acctbal) as a from nation left join supplier on s_nationkey = n_nationkey group by 1),
+  g as (select 3 + (select (count(*) = count(a))::int from c) + (select (count(*) = count(a))::int from s) as n) select 'plain' as variant, count(*) as n_rows, 5 as n_columns from nation union all select 'class', count(*), 4 from nation union all select 'complete', count(*), (select n from g)::int from nation""")
 def csv_load_variants(spark: SparkSession, d: str) -> DataFrame:
     """An indicator table written as CSV to the shared folder and read back with each of the loader's options."""
-    from graphlume.session import shared_folder
-    from graphlume.sources.files import load_indicators, write_csv
-
-    path = f"{shared_folder(spark)}/nations-csv"
-    write_csv(indicator_table_nations(spark, d), path)
+    path = f"{shared_folder(spark)}/nations-{uuid.uuid4().hex}"
+    files.write_csv(indicator_table_nations(spark, d), path)
     variants = {"plain": {}, "class": {"drop_class": True}, "complete": {"drop_incomplete": True}}
     out = None
     for name, options in variants.items():
-        one = load_indicators(spark, path, **options)
+        one = files.load_indicators(spark, path, **options)
         row = one.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("variant"), "n_rows", F.lit(len(one.columns)).alias("n_columns"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def _csv_folder(spark: SparkSession, d: str) -> str:
+    """Two tables of different columns as CSV files of one folder."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, d, "nation").select("n_nationkey", "n_name").write.option("header", True).csv(path)
+    table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal").write.mode("append").option("header", True).csv(path)
+    return path
+
+
+@query("""select n_nationkey::bigint as n_nationkey, n_name, null::bigint as s_suppkey, null::double as s_acctbal from nation union all select s_nationkey, null, s_suppkey, s_acctbal from supplier""")
+def csv_directory(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files with different columns read as one table."""
+    found = files.read_csv_directory(spark, _csv_folder(spark, d))
+    return found.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+@query("""select 2 as n_columns, count(*) as n_rows from nation union all select 3, count(*) from supplier""")
+def csv_directory_summary(spark: SparkSession, d: str) -> DataFrame:
+    return files.summarize_csv_directory(spark, _csv_folder(spark, d)).groupBy("n_columns").agg(F.sum("n_rows").alias("n_rows"))
+
+
 @query("""select user_id, event_type, count(*) as degree from events where user_id is not null group by 1, 2""")
 def event_degrees(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming extension."""

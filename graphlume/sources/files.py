@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field, fields
 from functools import reduce
 from pathlib import Path
@@ -30,7 +31,7 @@ class GraphConfig:
         return GraphConfig(**{k: v for k, v in json.loads(Path(path).read_text()).items() if k in known})
 
 
-def _csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
     """All columns as text: one pass, and no text is guessed to be a number."""
     return spark.read.csv(path, header=True, sep=delimiter, enforceSchema=False)
 
@@ -51,6 +52,12 @@ def load_indicators(spark: SparkSession, path: str, id_col: str | None = None, d
     return out
 
 
+def load_text(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A CSV table as text, empty values as null; the first column is the id."""
+    raw = _csv(spark, path, delimiter)
+    return raw.select(F.col(f"`{raw.columns[0]}`").try_cast("long").alias(raw.columns[0]), *(F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns[1:]))
+
+
 def load_with_originals(spark: SparkSession, processed: str, original: str, id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(processed, original rows that belong to it)."""
     mine, before = load_indicators(spark, processed, id_col), load_indicators(spark, original, id_col)
@@ -70,32 +77,52 @@ def read_rules(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["attribute"]: r["aggregation_function"] or "" for r in rows}
 
 
-def _paths(directory: str, suffix: str = ".csv") -> list[str]:
-    return sorted(str(p) for p in Path(directory).iterdir() if p.suffix == suffix)
+def csv_headers(spark: SparkSession, directory: str) -> DataFrame:
+    """``path, header`` of every CSV file of a directory; null for a file without a line."""
+    every = spark.read.format("binaryFile").load(f"{directory}/*.csv").select("path")  # names only: contents are not read
+    lines = spark.read.text(f"{directory}/*.csv").where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - one source writes file:///, the other file:/
+    return every.select("path", plain("path").alias("_p")).join(first.select(plain("path").alias("_p"), "header"), "_p", "left").drop("_p")
+
+
+def _by_header(spark: SparkSession, directory: str) -> list[DataFrame]:
+    """The files of a directory, one table for each different header."""
+    named = csv_headers(spark, directory).where("trim(header) != ''").orderBy("path").toLocalIterator()  # one row per file, as the reader's own list
+    files: dict[str, list[str]] = {}
+    for r in named:
+        files.setdefault(r["header"], []).append(r["path"])
+    return [_csv(spark, paths) for paths in files.values()]
 
 
 def read_csv_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """All CSV files of a directory by column name, with ``source_file``; unreadable files are left out, missing columns null."""
-    parts = []
-    for p in _paths(directory):
-        try:
-            one = _csv(spark, p)
-            if one.columns:
-                parts.append(one.withColumn("source_file", F.col("_metadata.file_name")))
-        except Exception:  # noqa: BLE001 - any unreadable file
-            continue
+    """All CSV files of a directory by column name, with ``source_file``; missing columns are null. Files without a header are left out: see ``skipped_csv_files``."""
+    parts = [df.withColumn("source_file", F.col("_metadata.file_name")) for df in _by_header(spark, directory)]
     if not parts:
         return spark.createDataFrame([], "source_file string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def skipped_csv_files(spark: SparkSession, directory: str) -> DataFrame:
+    """``file, reason`` of the files that ``read_csv_directory`` leaves out."""
+    return csv_headers(spark, directory).where("header is null or trim(header) = ''").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.lit("no header").alias("reason"))
+
+
 def summarize_csv_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """``file, n_rows, n_columns`` of each CSV file."""
-    rows = []
-    for p in _paths(directory):
-        df = _csv(spark, p)
-        rows.append((Path(p).name, df.count(), len(df.columns)))
-    return spark.createDataFrame(rows, "file string, n_rows long, n_columns int")
+    """``file, n_rows, n_columns`` of each CSV file with a header: one count over all files of one header."""
+    sizes = None
+    for df in _by_header(spark, directory):
+        names = F.explode(F.array(*(F.lit(p.rpartition("/")[2]) for p in df.inputFiles())))
+        every = spark.range(1).select(names.alias("file"))
+        counts = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
+        one = every.join(counts, "file", "left").select("file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return sizes if sizes is not None else spark.createDataFrame([], "file string, n_rows long, n_columns int")
+
+
+def dated(name: str, suffix: str = ".csv", at: float | None = None) -> str:
+    """An output name with the day and time: ``name_31-12-24_23-59-58.csv``."""
+    return f"{name}_{time.strftime('%d-%m-%y_%H-%M-%S', time.localtime(at))}{suffix}"
 
 
 def read_logs(spark: SparkSession, directory: str) -> DataFrame:
@@ -112,11 +139,9 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def to_latex(df: DataFrame, caption: str = "", digits: int = 3, most: int = 1000) -> str:
-    """A small table as LaTeX; more than ``most`` rows are refused."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows")
+def to_latex(df: DataFrame, caption: str = "", digits: int = 3) -> str:
+    """A table as LaTeX text, which is as long as the table: for reports."""
+    rows = df.toLocalIterator()
 
     def cell(v: object) -> str:
         text = "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
