@@ -213,3 +213,101 @@ def test_stream(spark, tmp_path, data):
     running.awaitTermination(120)
     batch = degrees_by_type(spark.read.parquet(f"{data}/events.parquet"))
     assert {tuple(r) for r in spark.table("degrees").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def cloud(spark, n, seed, d=2, labels=3):
+    import random
+
+    draw = random.Random(seed)
+    rows = [(i, i % labels, *(round(draw.gauss(5 * (i % labels), 1), draw.choice([0, 3])) for _ in range(d))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, label int, " + ", ".join(f"c{j} double" for j in range(d)))
+
+
+@pytest.mark.parametrize(("d", "block"), [(1, 7), (2, 20), (3, 500)])
+def test_nearest_against_all(spark, d, block):
+    rows, df = cloud(spark, 150, d, d)
+    wanted = set()
+    for i, _, *x in rows:
+        order = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, _, *y in rows if j != i)
+        wanted |= {(i, j) for _, j in order[:4]}
+    assert {tuple(r) for r in metrics.nearest(df, "id", [f"c{j}" for j in range(d)], 4, block).collect()} == wanted
+    assert metrics.nearest(df.where("false"), "id", ["c0"], 4).count() == 0
+
+
+@pytest.mark.parametrize("signs", [10, 0])
+def test_top_pairs_against_all(spark, monkeypatch, signs):
+    monkeypatch.setattr(insights, "MOST_SIGNS", signs)
+    rows, df = cloud(spark, 90, 5, 3)
+    wanted = set()
+    for label in range(3):
+        of = [(i, x) for i, g, *x in rows if g == label]
+        pairs = sorted((-round(sum(abs(a - b) for a, b in zip(x, y)), 9), i, j) for n, (i, x) in enumerate(of) for j, y in of[n + 1 :])
+        wanted |= {(label, r + 1, i, j) for r, (_, i, j) in enumerate(pairs[:6])}
+    found = insights.top_pairs(df, "id", ["c0", "c1", "c2"], 6, 20)
+    assert {tuple(r)[:4] for r in found.collect()} == wanted
+    same = df.withColumn("c0", F.lit(1.0)).withColumn("c1", F.lit(2.0)).withColumn("c2", F.lit(None).cast("double"))
+    assert insights.top_pairs(same, "id", ["c0", "c2"], 2).count() == 0
+    assert {tuple(r)[:4] for r in insights.top_pairs(same, "id", ["c0", "c1"], 2).where("label = 0").collect()} == {(0, 1, 0, 3), (0, 2, 0, 6)}
+
+
+def test_silhouette_against_all(spark):
+    rows, df = cloud(spark, 120, 9, 2, 4)
+    total = 0.0
+    for i, g, *x in rows:
+        by = {}
+        for j, h, *y in rows:
+            if i != j:
+                by.setdefault(h, []).append(math.dist(x, y))
+        a, b = sum(by[g]) / len(by[g]), min(sum(v) / len(v) for h, v in by.items() if h != g)
+        total += (b - a) / max(a, b)
+    assert kernels.silhouette(df, "id", ["c0", "c1"], block=25).first()[0] == pytest.approx(total / len(rows))
+
+
+def test_many_k_means_at_once(spark):
+    _, df = cloud(spark, 60, 3, 3)
+    columns, sets = ["c0", "c1", "c2"], [["c0"], ["c1", "c2"], ["c2", "c0"]]
+    together = kernels.kmeans_many(df, "id", columns, sets, 3, seed=1)
+    scores = {r["at"]: r["objective"] for r in kernels.objective_many(together, columns, sets, [["c1"], ["c0"], ["c1"]]).collect()}
+    for i, (s, q) in enumerate(zip(sets, [["c1"], ["c0"], ["c1"]])):
+        one = kernels.kmeans(df, "id", s, 3, seed=1)
+        assert {tuple(r) for r in one.collect()} == {tuple(r) for r in together.where(F.col("at") == i).select("id", "label").collect()}
+        assert scores[i] == pytest.approx(kernels.objective(df.drop("label").join(one, "id"), s, q, 3).first()[0])
+
+
+def test_run_tools(spark):
+    grid = runlog.experiment_grid(spark, ["petals"], ("rd",), (2, 3), 2)
+    done = spark.createDataFrame([("petals", "rd", 2, 0)], "data string, heuristic string, k int, run int")
+    assert {c for c, _ in runlog.run_experiments(grid, lambda *c: c, done)} == {("petals", "rd", 2, 1), ("petals", "rd", 3, 0), ("petals", "rd", 3, 1)}
+    with pytest.raises(ValueError, match="time_total"):
+        runlog.assert_columns(spark.createDataFrame([(1,)], " `Label ` int"), ["label", "time_total"])
+    text = "[best solution]: [1;-1] | 1.2e+05\n| 3e-4\n[CPU time] 1e-05 seconds\n"
+    r = runlog.parse_logs(spark.createDataFrame([("petals_rd_2_0.log", text)], "file string, text string")).first()
+    assert (r["best_score"], r["all_bar_scores"], r["cpu_time"]) == (1.2e5, [1.2e5, 3e-4], 1e-5)
+    assert files.dated("results", at=0.0).startswith("results_0") and files.dated("results", at=0.0).endswith(".csv")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from graphlume import session
+
+    class Nothing:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def isEmpty(self):
+            return True
+
+        def get(self, *a):
+            return None
+
+    other = Nothing()
+    other.__dict__.update(sparkContext=other, conf=other, master="spark://host:7077", _jsc=other)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(other)
+
+
+def test_skipped_files_and_correlated_metrics(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("")
+    assert [r["file"] for r in files.skipped_csv_files(spark, str(tmp_path)).collect()] == ["b.csv"]
+    table = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 3.0, 6.5)], "feature string, cv_gaps double, bc double")
+    assert metrics.metric_correlations(table, ["cv_gaps", "bc"]).first()["r"] == pytest.approx(0.9974, abs=1e-4)

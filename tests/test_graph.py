@@ -115,3 +115,17 @@ def test_empty_label(spark):
     empty = PropertyGraph({"A": spark.createDataFrame([], NODE), "B": spark.createDataFrame([], NODE)}, [Edges("M", "A", "B", spark.createDataFrame([], "src long, dst long, w double"))])
     assert collect.indicators(empty, "A", ["M"], ["M"]).count() == 0
     assert structure.densities(empty).where(F.col("ratio").isNotNull()).count() == 0
+
+
+def test_context_of_a_chain_longer_than_any_cap(spark):
+    nodes = spark.range(70).select("id", (F.col("id") * 10).alias("p"))
+    chain = spark.range(69).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = context.node_context(PropertyGraph({"A": nodes}, [Edges("NEXT", "A", "A", chain)]), "A", 0, ["NEXT"])
+    assert found.where("type = 'node'").count() == 70
+
+
+def test_indicators_hold_edge_properties(spark):
+    a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, x double"), spark.createDataFrame([(7, 5.0)], "id long, y double")
+    edges = spark.createDataFrame([(1, 7, 0.5)], "src long, dst long, w double")
+    found = collect.indicators(PropertyGraph({"A": a, "B": b}, [Edges("M", "A", "B", edges)]), "A", ["M"], ["M"])
+    assert {tuple(r) for r in found.select("outid", "A_x", "B_y", "M_w", "M__rel__avg_w").collect()} == {(1, 1.0, 5.0, 0.5, 0.5), (2, 2.0, None, None, None)}

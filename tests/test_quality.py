@@ -51,6 +51,40 @@ def test_induced_forms(spark):
     assert got["red"] == "red" and got["green"] == "green"
 
 
+def test_rare_values_without_form_are_exceptions(spark):
+    values = [("ids", f"AB-{i:05d}", 1) for i in range(500)] + [("ids", "?", 1), ("ids", "a much longer remark!", 1)] + [("free", f"{'xyz'[i % 3]}{'- ' * (i % 7)}{i * 7919 % 1000}!" * (1 + i % 5), 1) for i in range(300)]
+    df = spark.createDataFrame(values, "field string, value string, n long")
+    got = {(r["field"], r["value"]): r for r in quality.induce(df, ["field"]).collect()}
+    assert {v for (f, v), r in got.items() if f == "ids" and not r["conforms"]} == {"?", "a much longer remark!"}
+    assert got["ids", "?"]["expression"] == quality.EXCEPTION
+
+
+def test_code_lengths_decide_candidates_and_the_list_confirms(spark, monkeypatch):
+    values = [("d", f"float{b}", 40) for b in (16, 32, 64)] + [("d", "float99", 40), ("d", "Float64", 3)]
+    df = spark.createDataFrame(values, "field string, value string, n long")
+    listed = names(spark, "float16", "float32", "float64")
+
+    def candidates():
+        return {r["value"] for r in quality.induce(df, ["field"], listed).collect() if not r["conforms"]}
+
+    assert candidates() == {"float99", "Float64"}
+    rows = [(i, 1 + i % 2, 1, 1 + i % 2, 0.5, 0.5, ["float16", "float32", "float64", "float99", "Float64"][i % 5] if i % 2 else "float16", "") for i in range(100)]
+    before = found(spark, rows, "float16", "float32", "float64")
+    assert len(before) == 21 and (2, 0, "d", "shift") in before
+    for name in ("LETTER_BITS", "DIGIT_BITS"):  # with letters and digits for nothing, one form covers listed and other names
+        monkeypatch.setattr(quality, name, 0.0)
+    assert candidates() == {"float16", "float32", "float64", "float99", "Float64"}
+    assert found(spark, rows, "float16", "float32", "float64") == before
+
+
+def test_profile_changes(spark):
+    rows = [(1, 1, 1, f"A{i}", float(i)) for i in range(8)] + [(2, 1, 2, f"A{i}" if i < 4 else "zzz-zzz", None if i < 2 else 10.0) for i in range(8)] + [(3, 2, 1, None, None)]
+    df = spark.createDataFrame(rows, "load_id long, s long, n int, t string, v double")
+    got = {(r["load_id"], r["field"]): r for r in quality.column_profile(df, "load_id", ["t", "v"], stream="s", number="n").collect()}
+    assert got[2, "v"]["missing_change"] == 0.25 and got[2, "v"]["mean_change"] == 6.5 and got[1, "v"]["missing_change"] is None
+    assert got[2, "t"]["coverage_change"] == 0.5 and got[3, "t"]["n_missing"] == 1 and got[3, "t"]["n_expressions"] == 0
+
+
 def test_medians(spark):
     rows = [(g, (i * 37 % 101) / 100) for g in range(3) for i in range(g * 50)] + [(3, 2.0), (4, float("nan")), (5, None), (6, 0.3)] + [(7, 0.5)] * 9
     df = spark.createDataFrame(rows, "g int, v double")
