@@ -31,7 +31,7 @@ from graphlume.operators.ordered import medians, salted_join
 from graphlume.session import cut
 
 #: Bits to write one sign of an expression, to tell one letter or digit of a value, to spell one sign, and to announce an exception.
-SIGN_BITS, LETTER_BITS, DIGIT_BITS, ANY_BITS, EXCEPTION_BITS = 7.0, 4.7, 3.4, 8.0, 10.0
+SIGN_BITS, LETTER_BITS, DIGIT_BITS, ANY_BITS, EXCEPTION_BITS = 8.0, 4.7, 3.4, 8.0, 10.0
 ANYTHING, EXCEPTION = ".*", "(exception)"
 
 
@@ -84,7 +84,7 @@ def induce(values: DataFrame, keys: list[str], reference: DataFrame | None = Non
     # one row per column of the table: small enough to broadcast whatever the number of rows
     totals = F.broadcast(values.groupBy(*keys).agg(F.sum("n").cast("double").alias("total")))
     spelled = ANY_BITS * length + 2 * F.log2(length + 1.0)
-    own = F.when(F.coalesce("listed", F.lit(False)), 0.0).otherwise(SIGN_BITS * (length + 1)) + n * F.log2(F.col("total") / n)
+    own = F.when(F.coalesce("listed", F.lit(False)), 0.0).otherwise(SIGN_BITS * (length + 1) + 2 * F.log2(length + 1.0)) + n * F.log2(F.col("total") / n)
     exception = n * (EXCEPTION_BITS + spelled)
     leaf = leaf.join(totals, keys).withColumn("b3", F.least(own, exception)).withColumn("odd", exception < own)
     # sums of n * content under one expression: enough to cost it at each level

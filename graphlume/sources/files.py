@@ -79,7 +79,11 @@ def read_rules(spark: SparkSession, path: str) -> dict[str, str]:
 
 def csv_headers(spark: SparkSession, directory: str) -> DataFrame:
     """``path, header`` of every CSV file of a directory; null for a file without a line."""
-    every = spark.read.format("binaryFile").load(f"{directory}/*.csv").select("path")  # names only: contents are not read
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/*.csv")
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []  # one entry per file, as the reader's own list
+    every = spark.createDataFrame([(x.getPath().toString(),) for x in listed if x.isFile()], "path string")
+    if not any(x.getLen() for x in listed):
+        return every.withColumn("header", F.lit(None).cast("string"))
     lines = spark.read.text(f"{directory}/*.csv").where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
     first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - one source writes file:///, the other file:/
