@@ -316,3 +316,91 @@ def test_found_over_the_limit(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     assert {r["doc_id"] for r in p8_found(spark, data).collect()} == {r["doc_id"] for r in docs if r["text"] and len(ENC.encode_ordinary(r["text"])) > 2000}
+
+
+# what lies beyond the former bounds
+
+
+def test_parts_nested_deeper_than_any_cap():
+    text = "needle in the innermost part"
+    for i in range(300):
+        text = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{text}\n--b{i}--\n"
+    assert [p.strip() for p in mail.parts(text)] == ["needle in the innermost part"]
+
+
+def test_leaves_do_not_depend_on_where_nodes_are_split(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, draw.sample(words, 8), draw.choice([1.0, 1.02, 3.0])) for i in range(150)] + [(200 + i, words[:10] + [f"own{i}"], 7.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, entries array<string>, number double")
+    found = [{tuple(r) for r in clusters.similarity_clusters(df, local=n).collect()} for n in (8000, 30)]
+    assert found[0] == found[1]
+    assert {r[0]: r[1] for r in found[0]} == truth(rows)
+
+
+def test_heavy_keys_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "HEAVY", 2)
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(i, draw.sample(words, 6), draw.choice([1.0, 1.05, 2.0])) for i in range(120)]
+    df = spark.createDataFrame(rows, "record_id long, entries array<string>, number double")
+    assert {r["record_id"]: r["first_id"] for r in clusters.similarity_clusters(df, away=False).collect()} == truth(rows)
+
+
+def test_small_sets_and_wide_tolerances(spark):
+    rows = [(1, ["x"], 1.0), (2, ["x", "y"], 1.0), (3, ["q"], 5.0), (4, ["q"], 500.0), (5, ["q"], -5.0)]
+    df = spark.createDataFrame(rows, "record_id long, entries array<string>, number double")
+    first = lambda **k: {r["record_id"]: r["first_id"] for r in clusters.similarity_clusters(df, away=False, **k).collect()}
+    assert first(similarity=0.5) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert first(tolerance=1.0) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+    assert first(tolerance=2.0) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3}
+    assert first(tolerance=0.0) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    with pytest.raises(ValueError):
+        first(similarity=0.0)
+
+
+def test_a_long_chain_and_a_hub_are_one_component(spark):
+    edges = [(i, i + 1) for i in range(0, 150)] + [(1000, 1001 + i) for i in range(100)]
+    found = {r["leaf"]: r["root"] for r in clusters.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(found.values()) == {0, 1000} and found[150] == 0 and found[1100] == 1000
+
+
+def test_items_in_several_blocks(spark):
+    draw = random.Random(5)
+    words = [f"word{i}" for i in range(4000)]
+    items = [(i, " ".join(draw.choices(words, k=40))) for i in range(12)]
+    docs = [(i, "Subject: x\n\n" + " ".join(draw.choices(words, k=30)) + " " + items[i % 12][1][20:] + " " + " ".join(draw.choices(words, k=9))) for i in range(24)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in leakage.leaked(a, b, block_words=100).collect()}
+    assert found == {tuple(r) for r in leakage.leaked(a, b).collect()} == {(i, i % 12) for i in range(24)}
+
+
+def test_pieces_stay_within_any_limit_that_allows_it():
+    encoding = tokens.encoding()
+    lengths = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.max_token_value + 1)])
+    draw = random.Random(1)
+    for n in range(40):
+        text = "".join(draw.choices("ab \n.é漢🙂x", k=draw.randint(20, 400)))
+        limit = draw.randint(14, 40)
+        overlap = draw.randint(0, limit - 10)
+        for gap in (0, splitting.GAP):
+            pieces = splitting.split_text(text, encoding, lengths, limit, overlap, gap)
+            assert all(p.n_tokens <= limit for p in pieces)
+            assert not pieces or (pieces[0].start == 0 and pieces[-1].end == len(text.encode()) and all(q.start <= p.end < q.end for p, q in zip(pieces, pieces[1:])))
+    assert splitting.split_text("漢" * 50, encoding, lengths, 1, 0)  # no piece can keep within: it says so and ends
+
+
+def test_largest_mix_of_many_patterns():
+    draw = random.Random(2)
+    names = [f"s{i}" for i in range(9)]
+    patterns = {}
+    for _ in range(300):
+        patterns[tuple(sorted(draw.sample(names, draw.randint(1, 5))))] = draw.randint(1, 1000)
+    targets = {s: (draw.choice([0.05, 0.1, 0.2]), draw.randint(1, 3)) for s in names}
+    total, flows = mixing.route(patterns, targets)
+    got = {s: sum(n for (_, t), n in flows.items() if t == s) for s in names}
+    assert got == {s: round(targets[s][0] * total) for s in names}
+    bigger = {s: round(targets[s][0] * (total + max(50, total // 1000))) for s in names}
+    _, more = mixing.route(patterns, targets, total + max(50, total // 1000))
+    assert any(sum(n for (_, t), n in more.items() if t == s) < bigger[s] for s in names)
