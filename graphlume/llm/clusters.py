@@ -386,17 +386,27 @@ def _heavy_links(bearers: DataFrame, similarity: float, tolerance: float) -> Dat
 def _linked_leaves(points: DataFrame, similarity: float, tolerance: float) -> DataFrame:
     """``a, b``: leaves between which there is an alike pair, as many as join what belongs together."""
     keyed = cut(points.select("pid", "leaf", F.explode(F.array_distinct(_keys(F.col("entries"), F.col("number"), similarity, tolerance))).alias("key")))
-    # keys that bearers of several leaves share, from one row per key and task
+    # first the two outermost bearers of each key, once for each two leaves: what they link is contracted, so that most keys
+    # have bearers of one group only and are left out of the full comparison
+    ends = keyed.groupBy("key").agg(F.min(F.struct("leaf", "pid")).alias("lo"), F.max(F.struct("leaf", "pid")).alias("hi")).where("lo.leaf != hi.leaf")
+    tried = ends.groupBy(F.col("lo.leaf").alias("a"), F.col("hi.leaf").alias("b")).agg(F.min(F.struct("lo.pid", F.col("hi.pid").alias("other"))).alias("x")).select("a", "b", "x.pid", "x.other")
+    sides = [points.select(F.col("pid").alias(name), F.col("entries").alias(f"e{s}"), F.col("number").alias(f"n{s}")) for name, s in (("pid", "a"), ("other", "b"))]
+    shared = F.size(F.array_intersect("ea", "eb"))
+    near = alike(shared, F.size("ea"), F.size("eb"), F.col("na"), F.col("nb"), similarity, tolerance)
+    first = cut(tried.join(sides[0], "pid").join(sides[1], "other").where(near).select("a", "b"))
+    groups = cut(components(first))
+    keyed, before = cut(salted_join(keyed, groups, ["leaf"], "pid", "left").select("key", "pid", F.coalesce("root", "leaf").alias("leaf"))), keyed
+    drop(before)
+    # keys that bearers of several groups share, from one row per key and task
     several = cut(keyed.groupBy("key").agg(F.min("leaf").alias("lo"), F.max("leaf").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n"))
     bearers = salted_join(keyed, several, ["key"], "pid").select("key", "n", "leaf", "pid")
     bearers = cut(bearers.join(points.select("pid", "entries", "number"), "pid"))
     drop(keyed)
     few, many = bearers.where(F.col("n") <= HEAVY).drop("n", "pid"), bearers.where(F.col("n") > HEAVY).drop("n")
     left, right = few.toDF("key", "a", "ea", "na"), few.toDF("key", "b", "eb", "nb")
-    shared = F.size(F.array_intersect("ea", "eb"))
-    # HEAVY bearers of a key at most meet here; points of one leaf do not
-    links = left.join(right, "key").where(F.col("a") < F.col("b")).where(alike(shared, F.size("ea"), F.size("eb"), F.col("na"), F.col("nb"), similarity, tolerance)).select("a", "b").distinct()
-    return links.unionByName(_heavy_links(many, similarity, tolerance).distinct())
+    # HEAVY bearers of a key at most meet here; points of one group do not
+    links = left.join(right, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
+    return first.unionByName(links).unionByName(_heavy_links(many, similarity, tolerance).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
