@@ -53,6 +53,11 @@ PAIR_KEYS = 66
 HEAVY, BLOCK, NODES_AT_ONCE = 200, 1000, 4096
 
 
+def _joined(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """All sides of joins here grow with the records, and arrays of hashed entries take many times their file's size in memory: none is broadcast."""
+    return salted_join(big, small, on, by, how, merge=True)
+
+
 def alike(shared: Column, size_a: Column, size_b: Column, a: Column, b: Column, similarity: float, tolerance: float) -> Column:
     near = F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))
     return (shared >= similarity * (size_a + size_b - shared) - 1e-9) & near
@@ -357,10 +362,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _heavy_links(bearers: DataFrame, similarity: float, tolerance: float) -> DataFrame:
     """``a, b``: links between leaves under keys with many bearers, which meet in pairs of blocks."""
     sizes = bearers.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_n"))
-    placed = salted_join(bearers, sizes, ["key"], "pid").withColumn("_b", F.pmod(F.xxhash64("pid"), F.col("_n")))
+    placed = _joined(bearers, sizes, ["key"], "pid").withColumn("_b", F.pmod(F.xxhash64("pid"), F.col("_n")))
     packed = cut(placed.groupBy("key", "_b", "_n").agg(F.collect_list(F.struct("leaf", "entries", "number")).alias("rows")))
     asked = packed.withColumnsRenamed({"rows": "asked", "_b": "_a"}).withColumn("_b", F.explode(F.sequence(F.col("_a"), F.col("_n") - 1))).drop("_n")
-    met = asked.join(packed.drop("_n"), ["key", "_b"]).select("asked", "rows")
+    met = asked.join(packed.drop("_n").hint("merge"), ["key", "_b"]).select("asked", "rows")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -388,14 +393,14 @@ def _linked_leaves(points: DataFrame, similarity: float, tolerance: float) -> Da
     keyed = cut(points.select("pid", "leaf", F.explode(F.array_distinct(_keys(F.col("entries"), F.col("number"), similarity, tolerance))).alias("key")))
     # keys that bearers of several leaves share, from one row per key and task
     several = cut(keyed.groupBy("key").agg(F.min("leaf").alias("lo"), F.max("leaf").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n"))
-    bearers = salted_join(keyed, several, ["key"], "pid").select("key", "n", "leaf", "pid")
-    bearers = cut(bearers.join(points.select("pid", "entries", "number"), "pid"))
+    bearers = _joined(keyed, several, ["key"], "pid").select("key", "n", "leaf", "pid")
+    bearers = cut(bearers.join(points.select("pid", "entries", "number").hint("merge"), "pid"))
     drop(keyed)
     few, many = bearers.where(F.col("n") <= HEAVY).drop("n", "pid"), bearers.where(F.col("n") > HEAVY).drop("n")
     left, right = few.toDF("key", "a", "ea", "na"), few.toDF("key", "b", "eb", "nb")
     shared = F.size(F.array_intersect("ea", "eb"))
     # HEAVY bearers of a key at most meet here; points of one leaf do not
-    links = left.join(right, "key").where(F.col("a") < F.col("b")).where(alike(shared, F.size("ea"), F.size("eb"), F.col("na"), F.col("nb"), similarity, tolerance)).select("a", "b").distinct()
+    links = left.join(right.hint("merge"), "key").where(F.col("a") < F.col("b")).where(alike(shared, F.size("ea"), F.size("eb"), F.col("na"), F.col("nb"), similarity, tolerance)).select("a", "b").distinct()
     return links.unionByName(_heavy_links(many, similarity, tolerance).distinct())
 
 
@@ -406,11 +411,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a vertex go to its least neighbour; small star: the rest do. A hub's rows are spread.
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(salted_join(both, least, ["a"], "b").where("b > a").select(F.col("m").alias("a"), "b").distinct())
+        large = cut(_joined(both, least, ["a"], "b").where("b > a").select(F.col("m").alias("a"), "b").distinct())
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = salted_join(large, down, ["b"], "a").select(F.col("m").alias("x"), "a", "b")
+        small = _joined(large, down, ["b"], "a").select(F.col("m").alias("x"), "a", "b")
         new = cut(small.select("x", "b").union(small.select("x", "a")).toDF("a", "b").where("a != b").distinct())
-        stable = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        stable = new.count() == edges.count() and new.join(edges.hint("merge"), ["a", "b"], "left_anti").isEmpty()
         drop(large)
         drop(edges)
         edges = new
@@ -424,14 +429,14 @@ def _from_centre(points: DataFrame, members: DataFrame) -> DataFrame:
 
     A record is its entries as a vector of length 1 beside the logarithm of its number. Rounded, so that ties are ties in any order of adding up.
     """
-    of = cut(points.join(members.groupBy("pid", "root").agg(F.count("*").alias("m")), "pid"))
+    of = cut(points.join(members.groupBy("pid", "root").agg(F.count("*").alias("m")).hint("merge"), "pid"))
     y = NUMBER_WEIGHT * F.signum("number") * F.log1p(F.abs("number") * 1000)
     totals = of.groupBy("root").agg(F.sum("m").alias("n"), (F.sum(F.col("m") * y) / F.sum("m")).alias("mean"))
     flat = of.select("pid", "root", "m", F.sqrt(F.size("entries")).alias("length"), F.explode("entries").alias("entry"))
     weights = cut(flat.groupBy("root", "entry").agg(F.sum(F.col("m") / F.col("length")).alias("w")))
-    centres = totals.join(weights.groupBy("root").agg(F.sum(F.col("w") * F.col("w")).alias("ww")), "root")
-    dots = salted_join(flat, weights, ["root", "entry"], "pid").groupBy("pid").agg(F.sum(F.col("w") / F.col("length")).alias("dot"))
-    both = salted_join(of.select("pid", "root", y.alias("y")).join(dots, "pid"), centres, ["root"], "pid")
+    centres = totals.join(weights.groupBy("root").agg(F.sum(F.col("w") * F.col("w")).alias("ww")).hint("merge"), "root")
+    dots = _joined(flat, weights, ["root", "entry"], "pid").groupBy("pid").agg(F.sum(F.col("w") / F.col("length")).alias("dot"))
+    both = _joined(of.select("pid", "root", y.alias("y")).join(dots.hint("merge"), "pid"), centres, ["root"], "pid")
     n, off = F.col("n"), F.col("y") - F.col("mean")
     return both.select("pid", F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - 2 * F.col("dot") / n + F.col("ww") / (n * n) + off * off)), 6).alias("away"))
 
@@ -451,17 +456,17 @@ def similarity_clusters(records: DataFrame, similarity: float = 0.6, tolerance:
     points = rows.groupBy("entries", "number").agg(F.min("record_id").alias("pid"))
     counts = points.select(F.explode("entries").alias("entry")).groupBy("entry").agg(F.count("*").alias("n"))
     flat = points.select("pid", "number", F.explode("entries").alias("entry"))
-    ordered = salted_join(flat, counts, ["entry"], "pid").groupBy("pid", "number").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("x"))
+    ordered = _joined(flat, counts, ["entry"], "pid").groupBy("pid", "number").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("x"))
     points = cut(ordered.select("pid", "number", F.col("x.entry").alias("entries")))
-    leaved = cut(points.join(_leaved(points, local, similarity, tolerance), "pid"))
+    leaved = cut(points.join(_leaved(points, local, similarity, tolerance).hint("merge"), "pid"))
     roots = cut(components(_linked_leaves(leaved, similarity, tolerance)))
-    named = salted_join(leaved.select("pid", "leaf"), roots, ["leaf"], "pid", "left").withColumn("root", F.coalesce("root", "leaf"))
+    named = _joined(leaved.select("pid", "leaf"), roots, ["leaf"], "pid", "left").withColumn("root", F.coalesce("root", "leaf"))
     # from points back to records: a point's records bear its entries and number
-    pid = salted_join(rows, points.select("pid", F.array_sort("entries").alias("entries"), "number"), ["entries", "number"], "record_id").select("record_id", "pid")
-    members = cut(salted_join(pid, named, ["pid"], "record_id").select("record_id", "pid", "root", "leaf"))
+    pid = _joined(rows, points.select("pid", F.array_sort("entries").alias("entries"), "number"), ["entries", "number"], "record_id").select("record_id", "pid")
+    members = cut(_joined(pid, named, ["pid"], "record_id").select("record_id", "pid", "root", "leaf"))
     first = members.groupBy("root").agg(F.min("record_id").alias("first_id"))
-    named = salted_join(members, first, ["root"], "record_id")
-    return salted_join(named, _from_centre(points, members), ["pid"], "record_id").select("record_id", "first_id", "leaf", "away") if away else named.select("record_id", "first_id", "leaf")
+    named = _joined(members, first, ["root"], "record_id")
+    return _joined(named, _from_centre(points, members), ["pid"], "record_id").select("record_id", "first_id", "leaf", "away") if away else named.select("record_id", "first_id", "leaf")
 
 
 def described(clustered: DataFrame, typical: int = 3) -> DataFrame:
@@ -473,4 +478,4 @@ def described(clustered: DataFrame, typical: int = 3) -> DataFrame:
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("first_id").orderBy(*nearest))).where(F.col("r") <= typical)
     chosen = few.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "record_id"))), lambda x: x["record_id"]).alias("typical"))
     sizes = salted.groupBy("first_id", "leaf").agg(F.count("*").alias("n")).groupBy("first_id").agg(F.sum("n").alias("size"), F.count("*").alias("leaves"))
-    return sizes.join(chosen, "first_id")
+    return sizes.join(chosen.hint("merge"), "first_id")

@@ -65,14 +65,14 @@ def _clustered(spark: SparkSession, sf_dir: str, away: bool) -> DataFrame:
     entries = split_packed(runs, "result_id", "partition", SIDES).where("val != ''")
     sets = entries.groupBy("row_key").agg(F.collect_set(F.concat_ws("\x1f", "side", "val")).alias("entries"))
     numbers = runs.dropDuplicates(["result_id"]).select(F.col("result_id").alias("row_key"), F.col("Country_physicians").alias("number"))
-    return clusters.similarity_clusters(sets.join(numbers, "row_key").select(F.col("row_key").alias("record_id"), "entries", "number"), away=away)
+    return clusters.similarity_clusters(sets.join(numbers.hint("merge"), "row_key").select(F.col("row_key").alias("record_id"), "entries", "number"), away=away)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of every cluster of at least two runs alike in partition and physicians."""
     found = cut(_clustered(spark, sf_dir, away=False))
     several = found.groupBy("first_id").agg(F.count("*").alias("n")).where("n > 1").select("first_id")
-    return salted_join(found, several, ["first_id"], "record_id").select("first_id", F.col("record_id").alias("result_id"))
+    return salted_join(found, several, ["first_id"], "record_id", merge=True).select("first_id", F.col("record_id").alias("result_id"))
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

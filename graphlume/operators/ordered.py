@@ -39,14 +39,15 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.withColumn(out, F.when(F.col("_first") & F.col("_before").isNotNull() & carried, F.col("_before._value")).otherwise(F.col(out))).drop("_at", "_at2", "_first", "_before")
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 16, merge: bool = False) -> DataFrame:
     """``big`` joined to ``small``, which has at most one row per key, with the rows of one key over ``salts`` tasks.
 
-    ``by`` is the column of ``big`` whose hash spreads the rows of a key.
+    ``by`` is the column of ``big`` whose hash spreads the rows of a key. With ``merge``, ``small`` is never broadcast: the
+    planner goes by file sizes, which know neither the ``salts`` copies of it nor how well its columns are packed.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge") if merge else repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:

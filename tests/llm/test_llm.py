@@ -404,3 +404,17 @@ def test_largest_mix_of_many_patterns():
     bigger = {s: round(targets[s][0] * (total + max(50, total // 1000))) for s in names}
     _, more = mixing.route(patterns, targets, total + max(50, total // 1000))
     assert any(sum(n for (_, t), n in more.items() if t == s) < bigger[s] for s in names)
+
+
+def test_joins_of_clusters_are_never_broadcast(spark, monkeypatch):
+    plans, written = [], clusters.cut
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(clusters, "cut", lambda df: (note(df), written(df))[1])
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(i, draw.sample(words, 6), draw.choice([1.0, 1.05, 2.0])) for i in range(120)]
+    found = clusters.similarity_clusters(spark.createDataFrame(rows, "record_id long, entries array<string>, number double"), local=40)
+    note(found)
+    note(clusters.described(found))
+    assert {r["record_id"]: r["first_id"] for r in found.collect()} == truth(rows)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
