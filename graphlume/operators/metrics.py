@@ -115,34 +115,48 @@ def nearest(df: DataFrame, key: str, columns: list[str], k: int = 5, block: int
     """``a, b``: the ``k`` nearest other rows of each row (squared Euclid, ties by key), exactly. Rows with a missing value have no neighbours.
 
     Rows near each other are packed in tiles. A tile's own rows give each an upper bound of its k-th distance; the
-    greatest of them is the tile's reach, and only tiles whose boxes lie within it are compared."""
-    kind = df.schema[key].dataType.simpleString()
+    greatest of them is the tile's reach, and only tiles whose boxes lie within it meet. Of a tile only those rows go to
+    another one whose own bound reaches its box. Tiles are plain arrays, which Python reads without an object per row."""
+    kind, n = df.schema[key].dataType.simpleString(), len(columns)
     rows = df.select(F.col(key).alias("id"), F.array(*(as_number(c) for c in columns)).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
-    tiled = cut(tiles(rows, "x", "id", block))
+    tiled = cut(tiles(rows, "x", "id", block).select("tile", "low", "high", F.col("rows.id").alias("ids"), F.flatten("rows.x").alias("x")))
 
-    def arrays(packed) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r["id"] for r in packed]), np.array([r["x"] for r in packed], dtype=float)
+    def square(x: np.ndarray) -> np.ndarray:
+        return np.asarray(x, dtype=float).reshape(-1, n)
 
     def reach(batches):
         for batch in batches:
-            out = []
-            for packed in batch["rows"]:
-                ids, x = arrays(packed)
-                a, _, d = _nearest_of(ids, x, ids, x, k)
-                full = len(a) == k * len(ids)
-                out.append(float(d.max()) if full else np.inf)
-            yield pd.DataFrame({"tile": batch["tile"], "low": batch["low"], "high": batch["high"], "reach": out})
+            for tile, low, high, ids, x in zip(batch["tile"], batch["low"], batch["high"], batch["ids"], batch["x"]):
+                a, _, d = _nearest_of(ids, square(x), ids, square(x), k)
+                bounds = np.full(len(ids), np.inf)
+                last = np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) == k - 1)
+                bounds[a[last]] = d[last]
+                yield pd.DataFrame({"tile": [tile], "low": [low], "high": [high], "reach": [float(bounds.max())], "bounds": [bounds]})
+
+    def reaching(batches):
+        for batch in batches:
+            for other, low, high, ids, x, bounds in zip(batch["other"], batch["low"], batch["high"], batch["ids"], batch["x"], batch["bounds"]):
+                x, apart = square(x), np.zeros(len(ids))
+                for i in range(n):
+                    apart += np.maximum(0.0, np.maximum(low[i] - x[:, i], x[:, i] - high[i])) ** 2
+                near = apart <= bounds
+                if near.any():
+                    yield pd.DataFrame({"other": [other], "asked": [ids[near]], "at": [x[near].ravel()], "bounds": [bounds[near]]})
 
     def best(batches):
         for batch in batches:
-            for asked, others in zip(batch["asked"], batch["rows"]):
-                (ids, x), (keys, y) = arrays(asked), arrays(others)
-                a, b, d = _nearest_of(ids, x, keys, y, k)
-                yield pd.DataFrame({"a": ids[a], "b": keys[b], "d": d})
-
-    met = near_tiles(tiled.select("tile", "low", "high", "rows").mapInPandas(reach, "tile long, low array<double>, high array<double>, reach double"))
-    pairs = met.join(tiled.select("tile", F.col("rows").alias("asked")), "tile").join(tiled.select(F.col("tile").alias("other"), "rows"), "other")
-    found = pairs.select("asked", "rows").mapInPandas(best, f"a {kind}, b {kind}, d double")
+            for asked, at, bounds, ids, x in zip(batch["asked"], batch["at"], batch["bounds"], batch["ids"], batch["x"]):
+                a, b, d = _nearest_of(asked, square(at), ids, square(x), k)
+                near = d <= bounds[a]
+                yield pd.DataFrame({"a": asked[a[near]], "b": ids[b[near]], "d": d[near]})
+
+    numbers = "array<double>"
+    known = cut(tiled.mapInPandas(reach, f"tile long, low {numbers}, high {numbers}, reach double, bounds {numbers}"))
+    met = near_tiles(known).join(known.select(F.col("tile").alias("other"), "low", "high"), "other")
+    packed = tiled.select("tile", "ids", "x").join(known.select("tile", "bounds").hint("merge"), "tile")
+    asks = met.join(packed.hint("merge"), "tile").select("other", "low", "high", "ids", "x", "bounds").mapInPandas(reaching, f"other long, asked array<{kind}>, at {numbers}, bounds {numbers}")
+    pairs = asks.join(tiled.select(F.col("tile").alias("other"), "ids", "x").hint("merge"), "other")
+    found = pairs.select("asked", "at", "bounds", "ids", "x").mapInPandas(best, f"a {kind}, b {kind}, d double")
     return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k).select("a", "b")
 
 

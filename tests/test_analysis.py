@@ -311,3 +311,16 @@ def test_skipped_files_and_correlated_metrics(spark, tmp_path):
     assert [r["file"] for r in files.skipped_csv_files(spark, str(tmp_path)).collect()] == ["b.csv"]
     table = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 3.0, 6.5)], "feature string, cv_gaps double, bc double")
     assert metrics.metric_correlations(table, ["cv_gaps", "bc"]).first()["r"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])
+
+
+def test_neighbours_meet_as_plain_arrays(spark, monkeypatch):
+    kept, written = [], metrics.cut
+    monkeypatch.setattr(metrics, "cut", lambda df: (kept.append(df.schema.simpleString()), written(df))[1])
+    x = np.repeat(np.random.default_rng(5).integers(0, 9, (30, 2)), 7, axis=0).astype(float)  # ties and copies over several tiles
+    x = x[np.random.default_rng(6).permutation(len(x))]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double")
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    wanted = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5]}
+    assert {tuple(r) for r in metrics.nearest(df, "id", ["a", "b"], 5, 20).collect()} == wanted
+    assert kept and not any("array<struct" in schema for schema in kept)  # Python would make an object of each row
